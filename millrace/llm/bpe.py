@@ -47,27 +47,28 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
 
 
 @functools.cache
-def rank_table(path: str) -> tuple[int, int, list[int]]:
-    """(slots, base, table): table[h] = key * base + rank, where key = first id * base + second id."""
+def rank_table(path: str) -> tuple[int, int, list[int], list[int]]:
+    """(slots, base, keys, ranks): a two-choice hash table whose keys are first id * base + second id."""
     ranks = read_ranks(path)
     base = max(ranks.values()) + 2
     pairs = pair_ranks(ranks)
     slots = 2 * len(pairs) + len(pairs) // 4 + 7
     while True:
-        table, ok = [-1] * slots, True
+        keys, values, ok = [-1] * slots, [NO_RANK] * slots, True
         for (a, b), rank in pairs.items():
-            item, place = (a * base + b) * base + rank, None
+            key, place = a * base + b, None
             for _ in range(500):
-                h1, h2 = _slots_of(item // base, base, slots)
+                h1, h2 = _slots_of(key, base, slots)
                 place = h2 if place == h1 else h1
-                table[place], item = item, table[place]
-                if item < 0:
+                keys[place], key = key, keys[place]
+                values[place], rank = rank, values[place]
+                if key < 0:
                     break
             else:
                 ok = False
                 break
         if ok:
-            return slots, base, table
+            return slots, base, keys, values
         slots = slots * 5 // 4 + 1
 
 
@@ -76,26 +77,26 @@ def _slots_of(key: int, base: int, slots: int) -> tuple[int, int]:
 
 
 def merge_expression(path: str, words: str) -> str:
-    """SQL that makes each array of byte ids in the array words an array of merged ids."""
-    slots, base, table = rank_table(path)
-    literal = "cast(split('" + ",".join(map(str, table)) + "', ',') as array<bigint>)"
+    """SQL that merges each struct (s: byte ids, r: ranks of neighbours) of the array words into ids."""
+    slots, base, keys, values = rank_table(path)
+    literal = lambda x: "cast(split('" + ",".join(map(str, x)) + "', ',') as array<bigint>)"
 
     def look(x: str, y: str) -> str:
-        key = f"(cast({x} as bigint) * {base}L + {y})"
-        one, two = f"get(t, cast({key} % {slots} as int))", f"get(t, cast(({x} * 7919L + {y} * 104729L) % {slots} as int))"
-        return f"cast(if({one} div {base} = {key}, {one} % {base}, if({two} div {base} = {key}, {two} % {base}, {NO_RANK}L)) as int)"
+        key = f"{x} * {base}L + {y}"
+        one, two = f"cast(({key}) % {slots}L as int)", f"cast(({x} * 7919L + {y} * 104729L) % {slots}L as int)"
+        return f"if(get(t.k, {one}) = {key}, get(t.v, {one}), if(get(t.k, {two}) = {key}, get(t.v, {two}), {NO_RANK}L))"
 
     # state: ids s, ranks r of neighbours, place p of the next merge (0: to be looked for, -1: none); turns look and merge
-    none, low = "cast(array() as array<int>)", "get(a.r, a.p - 1)"
+    none, low = "cast(array() as array<bigint>)", "get(a.r, a.p - 1)"
     ids = f"concat(slice(a.s, 1, a.p - 1), array({low}), slice(a.s, a.p + 2, size(a.s)))"
     left = f"if(a.p > 1, array({look('get(a.s, a.p - 2)', low)}), {none})"
     right = f"if(a.p < size(a.r), array({look(low, 'get(a.s, a.p + 1)')}), {none})"
     ranks = f"concat(slice(a.r, 1, greatest(a.p - 2, 0)), {left}, {right}, slice(a.r, a.p + 2, size(a.r)))"
-    first = f"slice(zip_with(w, slice(w, 2, size(w)), (x, y) -> {look('x', 'y')}), 1, greatest(size(w) - 1, 0))"
-    found = f"if(coalesce(array_min(a.r), {NO_RANK}) = {NO_RANK}, -1, cast(array_position(a.r, array_min(a.r)) as int))"
+    found = f"if(coalesce(array_min(a.r), {NO_RANK}L) = {NO_RANK}L, -1, cast(array_position(a.r, array_min(a.r)) as int))"
     step = f"if(a.p < 0, a, if(a.p = 0, named_struct('s', a.s, 'r', a.r, 'p', {found}), named_struct('s', {ids}, 'r', {ranks}, 'p', 0)))"
-    fold = f"aggregate(slice(concat(w, w), 2, 2 * size(w)), named_struct('s', w, 'r', {first}, 'p', 0), (a, i) -> {step}, a -> a.s)"
-    return f"transform(array({literal}), t -> transform({words}, w -> {fold}))[0]"
+    fold = f"aggregate(concat(w.r, w.r), named_struct('s', w.s, 'r', w.r, 'p', 0), (a, i) -> {step}, a -> a.s)"
+    table = f"named_struct('k', {literal(keys)}, 'v', {literal(values)})"
+    return f"transform(array({table}), t -> transform({words}, w -> {fold}))[0]"
 
 
 def heap_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -130,14 +131,18 @@ def heap_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-_BLOCK = "ids array<bigint>, counts array<int>, place array<int>, words array<array<int>>, long_at array<int>, long_ids array<array<int>>"
+_BLOCK = "ids array<bigint>, counts array<int>, place array<int>, words array<struct<s:array<bigint>,r:array<bigint>>>, long_at array<int>, long_ids array<array<bigint>>"
 
 
 def _split(path: str, long_piece: int, block_bytes: int):
     def run(batches):
         ranks = read_ranks(path)
         byte_ids = [ranks[bytes([i])] for i in range(256)]
-        lut = np.array(byte_ids, dtype=np.int32)
+        lut = np.array(byte_ids, dtype=np.int64)
+        pair = np.full(65536, NO_RANK, np.int64)
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                pair[token[0] << 8 | token[1]] = rank
         for batch in batches:
             raw, off = binary_parts(batch.column(1))
             ids = batch.column(0)
@@ -157,11 +162,17 @@ def _split(path: str, long_piece: int, block_bytes: int):
                     words[k] = b""
                 flat = np.frombuffer(b"".join(words), np.uint8)
                 starts = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int32)
+                inner = np.ones(max(0, len(flat) - 1), bool)
+                cut = starts[1:-1][(starts[1:-1] > 0) & (starts[1:-1] < len(flat))]
+                inner[cut - 1] = False
+                near = pair[flat[:-1].astype(np.int64) << 8 | flat[1:]][inner] if len(flat) else np.zeros(0, np.int64)
+                near_starts = np.concatenate([[0], np.cumsum(np.maximum(np.diff(starts) - 1, 0))]).astype(np.int32)
+                structs = pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(starts), pa.array(lut[flat])), pa.ListArray.from_arrays(pa.array(near_starts), pa.array(near))], names=["s", "r"])
                 one = lambda a, t: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), pa.array(a, t) if not isinstance(a, pa.Array) else a)
                 cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays([
                     one(ids.slice(i, j - i).cast(pa.int64()), None), one(cat(counts).astype(np.int32), pa.int32()), one(cat(places).astype(np.int32), pa.int32()),
-                    one(pa.ListArray.from_arrays(pa.array(starts), pa.array(lut[flat])), None), one(longs, pa.int32()), one(pa.array(done, pa.list_(pa.int32())), None),
+                    one(structs, None), one(longs, pa.int32()), one(pa.array(done, pa.list_(pa.int64())), None),
                 ], names=["ids", "counts", "place", "words", "long_at", "long_ids"])
     return run
 

@@ -23,12 +23,30 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_embedding_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pq import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixdedup import spans
+
+    return spans(_table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .wordcount import count_tokens
 
     return count_tokens(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
+def op4_simhash_gph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import urlfilter as U
 
@@ -55,6 +73,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op8_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid as L
+
+    docs = _table(spark, sf_dir, "documents")
+    model = L.fit(docs.where(~L.held_out()))
+    return L.predict(docs.select("doc_id", "text"), model).select("doc_id", L.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op9_byte_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .planes import write_and_read
 
@@ -69,8 +95,20 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op5_url_filter, op6_byte_bpe, op7_decontamination, op9_byte_planes, op10_virtual_slots)}
+    return {f.__name__: f for f in (
+        op1_embedding_pq, op2_suffix_dedup, op3_token_counts, op4_simhash_gph, op5_url_filter, op6_byte_bpe, op7_decontamination, op8_language_crf, op9_byte_planes, op10_virtual_slots)}
+
+
+_OP1_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+comp AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+deg AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(deg.n, 0) AS BIGINT) AS n_links, comp.component_id, v.vec_id = comp.component_id AS kept
+FROM v JOIN comp ON comp.a = v.vec_id LEFT JOIN deg ON deg.a = v.vec_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_embedding_pq": _OP1_SQL}
