@@ -49,7 +49,7 @@ def _slide(a: np.ndarray, width: int, op) -> np.ndarray:
 
 
 def window_grams(buf: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(starts of all windows of length bytes inside documents, hash of each window's smallest gram)."""
+    """(starts of all windows of length bytes inside documents, 48-bit hash of each window's smallest gram)."""
     n = len(buf)
     if n < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -67,7 +67,7 @@ def window_grams(buf: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndar
     for k in range(len(off) - 1):
         inside[max(off[k], off[k + 1] - length + 1): off[k + 1]] = False
     starts = np.flatnonzero(inside[: len(low)])
-    return starts, low[starts]
+    return starts, low[starts] >> np.uint64(16)
 
 
 def _text_blocks(raw: np.ndarray, off: np.ndarray, limit: int = 1 << 21):
@@ -95,19 +95,25 @@ _ASK = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("grp", pa.int32
 _ASK_SQL = "bucket int, kind int, grp int, n int, blob binary"
 
 
-def _pack(*arrays) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+def _pack(*arrays, level: int = 1) -> bytes:
+    """Arrays as byte planes (numbers of one size have like high bytes), compressed; bytes as they are."""
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T if len(a) else a for a in map(np.asarray, arrays)]
+    return zstandard.ZstdCompressor(level=level).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in planes))
 
 
 def _unpack(blob: bytes, n: int, *kinds) -> list[np.ndarray]:
     raw, at, out = zstandard.ZstdDecompressor().decompress(blob), 0, []
     for kind in kinds:
-        size = np.dtype(kind).itemsize * n
-        out.append(np.frombuffer(raw, kind, n, at))
-        at += size
+        size = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel())
+        at += n * size
     return [*out, np.frombuffer(raw, np.uint8, offset=at)]
 
 
+def _steps(sorted_grams: np.ndarray) -> np.ndarray:
+    return np.diff(sorted_grams, prepend=np.uint64(0))
+
+
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
 
@@ -143,14 +149,16 @@ def _ask(length: int, buckets: int):
                 rows = []
                 for g, at in _cut(grp[known]):
                     pairs = np.unique(grams[known][at])
-                    rows.append((g % buckets, 1, g, len(pairs), _pack(pairs)))
+                    rows.append((g % buckets, 1, g, len(pairs), _pack(_steps(pairs))))
                 many = head[count >= LOCAL_HOT]
                 least = np.minimum.reduceat(docs, head)[count >= LOCAL_HOT]
                 a_gram, a_doc = np.concatenate([grams[~known], grams[many]]), np.concatenate([docs[~known], least])
                 a_grp = np.concatenate([grp[~known], np.full(len(many), -1)]).astype(np.int32)
                 a_count = np.concatenate([np.ones(int((~known).sum())), count[count >= LOCAL_HOT]]).astype(np.int32)
-                for b, at in _cut((a_gram % np.uint64(buckets)).astype(np.int64)):
-                    rows.append((b, 0, 0, len(at), _pack(a_gram[at], a_doc[at], a_grp[at], a_count[at])))
+                o = np.argsort(a_gram, kind="stable")
+                a_gram, a_doc, a_grp, a_count = a_gram[o], a_doc[o], a_grp[o], a_count[o]
+                for b, at in _cut((a_gram % np.uint64(buckets)).astype(np.int64)):  # stable: grams stay sorted
+                    rows.append((b, 0, 0, len(at), _pack(_steps(a_gram[at]), a_doc[at], a_grp[at], a_count[at])))
                 yield _rows(rows, _ASK)
     return run
 
@@ -171,9 +179,10 @@ def _tell(hot_docs: int):
         rows, parts = [], []
         for kind, grp, n, blob in zip(*(table.column(c).to_pylist() for c in ("kind", "grp", "n", "blob"))):
             if kind == 0:
-                parts.append(_unpack(blob, n, np.uint64, np.int64, np.int32, np.int32)[:4])
+                part = _unpack(blob, n, np.uint64, np.int64, np.int32, np.int32)[:4]
+                parts.append([np.cumsum(part[0], dtype=np.uint64), *part[1:]])
             else:
-                rows.append((grp, n, _pack(_unpack(blob, n, np.uint64)[0], np.full(n, BOTH_WAYS, np.uint8))))
+                rows.append((grp, n, _pack(_unpack(blob, n, np.uint64)[0], np.full(n, BOTH_WAYS, np.uint8))))  # steps stay steps
         if parts:
             grams, docs, grps, count = (np.concatenate(x) for x in zip(*parts))
             o = np.argsort(grams, kind="stable")
@@ -184,8 +193,9 @@ def _tell(hot_docs: int):
             hot = np.add.reduceat(count.astype(np.int64), head) > hot_docs
             keep = np.repeat(shared, size) & (grps >= 0)
             way = np.where(np.repeat(hot, size)[keep], BY_WINDOW, ONE_WAY).astype(np.uint8)
+            told = grams[keep]
             for g, at in _cut(grps[keep]):
-                rows.append((g, len(at), _pack(grams[keep][at], way[at])))
+                rows.append((g, len(at), _pack(_steps(told[at]), way[at])))
         return pa.Table.from_batches([_rows(rows, _TOLD)])
     return run
 
@@ -195,7 +205,7 @@ def _shared_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     parts = [_unpack(b, n, np.uint64, np.uint8)[:2] for n, b in zip(table.column("n").to_pylist(), table.column("blob").to_pylist())]
     if not parts:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint8)
-    grams, way = (np.concatenate(x) for x in zip(*parts))
+    grams, way = np.concatenate([np.cumsum(g, dtype=np.uint64) for g, _ in parts]), np.concatenate([w for _, w in parts])
     o = np.lexsort((way, grams))
     grams, way = grams[o], way[o]
     head = np.append(True, grams[1:] != grams[:-1])
@@ -242,31 +252,35 @@ _SENT = pa.schema([("bucket", pa.int32()), ("grp", pa.int32()), ("n", pa.int32()
 _SENT_SQL = "bucket int, grp int, n int, blob binary"
 
 
+def _dealt(found: dict[bytes, list], shared: np.ndarray, ways: np.ndarray, length: int, buckets: int):
+    """(bucket, texts, smallest docs) of what a group sends, in an order that only its contents decide."""
+    names = sorted(found)
+    grams = np.array([found[t][0] for t in names], np.uint64)
+    docs = np.array([found[t][1] for t in names], np.int64)
+    way = ways[np.searchsorted(shared, grams)] if len(grams) else np.zeros(0, np.uint8)
+    windows: dict[bytes, int] = {}
+    for k in np.flatnonzero(way != ONE_WAY).tolist():
+        t, d = names[k], int(docs[k])
+        for s in range(len(t) - length + 1):
+            w = t[s: s + length]
+            if windows.get(w, 2**63) > d:
+                windows[w] = d
+    whole = way != BY_WINDOW
+    texts = [names[k] for k in np.flatnonzero(whole).tolist()] + list(windows)
+    keys = np.concatenate([grams[whole], np.array([int.from_bytes(hashlib.blake2b(w, digest_size=6).digest(), "little") for w in windows], np.uint64)])
+    docs = np.concatenate([docs[whole], np.fromiter(windows.values(), np.int64, len(windows))])
+    for b, at in _cut(((keys >> np.uint64(7)) % np.uint64(buckets)).astype(np.int64)):
+        o = at[np.argsort(keys[at], kind="stable")]
+        yield b, [texts[k] for k in o.tolist()], docs[o], keys[o]
+
+
 def _gather(length: int, buckets: int):
     def run(key, left, right):
         grp = key[0].as_py()
-        _, _, _, found, _ = _contents(left, right, length)
-        shared, ways = _shared_of(right)
-        names = sorted(found)
-        grams = np.array([found[t][0] for t in names], np.uint64)
-        docs = np.array([found[t][1] for t in names], np.int64)
-        way = ways[np.searchsorted(shared, grams)] if len(grams) else np.zeros(0, np.uint8)
-        whole = way != BY_WINDOW
-        windows: dict[bytes, int] = {}
-        for k in np.flatnonzero(way != ONE_WAY).tolist():
-            t, d = names[k], int(docs[k])
-            for s in range(len(t) - length + 1):
-                w = t[s: s + length]
-                if windows.get(w, 2**63) > d:
-                    windows[w] = d
-        own = [names[k] for k in np.flatnonzero(whole).tolist()]
-        keys = np.concatenate([grams[whole], np.array([int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in windows], np.uint64)])
-        docs = np.concatenate([docs[whole], np.fromiter(windows.values(), np.int64, len(windows))])
-        texts = own + list(windows)
-        sizes = np.fromiter(map(len, texts), np.int32, len(texts))
+        found = _contents(left, right, length)[3]
         rows = []
-        for b, at in _cut(((keys >> np.uint64(7)) % np.uint64(buckets)).astype(np.int64)):
-            rows.append((b, grp, len(at), _pack(keys[at], docs[at], sizes[at], np.frombuffer(b"".join([texts[k] for k in at.tolist()]), np.uint8))))
+        for b, texts, docs, keys in _dealt(found, *_shared_of(right), length, buckets):
+            rows.append((b, grp, len(texts), _pack(_steps(keys), docs, np.fromiter(map(len, texts), np.int32, len(texts)), np.frombuffer(b"".join(texts), np.uint8), level=3)))
         return pa.Table.from_batches([_rows(rows, _SENT)])
     return run
 
@@ -368,18 +382,19 @@ def smallest_docs(texts: list[bytes], docs: np.ndarray, length: int) -> list[np.
     return [at[a: b - length] for a, b in zip(starts.tolist(), ends.tolist())]
 
 
-_JUDGED = pa.schema([("grp", pa.int32()), ("n", pa.int32()), ("blob", pa.binary())])
-_JUDGED_SQL = "grp int, n int, blob binary"
+_JUDGED = pa.schema([("grp", pa.int32()), ("n", pa.int32()), ("blob", pa.binary()), ("bucket", pa.int32())])
+_JUDGED_SQL = "grp int, n int, blob binary, bucket int"
 
 
 def _judge(length: int, batch_bytes: int = 2 << 20):
-    """For every window that a smaller doc_id holds: back to the groups, as (text, smallest docs)."""
+    """The smallest docs of all windows, back to the groups in the order in which each sent its texts."""
     def run(key, table):
         least: dict[bytes, int] = {}
         by_gram: dict[int, list[bytes]] = {}
         sent = []
         for grp, n, blob in zip(*(table.column(c).to_pylist() for c in ("grp", "n", "blob"))):
             keys, docs, sizes, raw = _unpack(blob, n, np.uint64, np.int64, np.int32)
+            keys = np.cumsum(keys, dtype=np.uint64)
             data, ends = raw.tobytes(), np.cumsum(sizes).tolist()
             texts = [data[b - s: b] for s, b in zip(sizes.tolist(), ends)]
             for t, g, d in zip(texts, keys.tolist(), docs.tolist()):
@@ -388,7 +403,7 @@ def _judge(length: int, batch_bytes: int = 2 << 20):
                     by_gram.setdefault(g, []).append(t)
                 if known is None or d < known:
                     least[t] = d
-            sent.append((grp, texts, docs))
+            sent.append((grp, texts))
         answer: dict[bytes, np.ndarray] = {}
         pool: list[bytes] = []
         held = 0
@@ -408,27 +423,26 @@ def _judge(length: int, batch_bytes: int = 2 << 20):
                 pool, held = [], 0
         settle()
         rows = []
-        for grp, texts, _ in sent:
-            sizes = np.fromiter(map(len, texts), np.int32, len(texts))
-            body = [np.frombuffer(b"".join(texts), np.uint8)] if texts else []
-            rows.append((grp, len(texts), _pack(sizes, *body, *[answer[t] for t in texts])))
+        bucket = key[0].as_py()
+        for grp, texts in sent:
+            docs = np.concatenate([answer[t] for t in texts])
+            head = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))  # runs of one document
+            rows.append((grp, len(head), _pack(docs[head], np.diff(np.append(head, len(docs))).astype(np.int32)), bucket))
         return pa.Table.from_batches([_rows(rows, _JUDGED)])
     return run
 
 
-def removed_masks(left: pa.Table, told: pa.Table, judged: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def removed_masks(left: pa.Table, told: pa.Table, judged: pa.Table, length: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, offsets, mask of removed bytes) of the texts of one group."""
     raw, off, ids, found, blocks = _contents(left, told, length)
     answer: dict[bytes, np.ndarray] = {}
-    for n, blob in zip(judged.column("n").to_pylist(), judged.column("blob").to_pylist()):
-        sizes, rest = _unpack(blob, n, np.int32)
-        total = int(sizes.sum())
-        data, docs = rest[:total].tobytes(), rest[total:].view(np.int64) if len(rest) > total else np.zeros(0, np.int64)
-        at = d = 0
-        for s in sizes.tolist():
-            t, v = data[at: at + s], docs[d: d + s - length + 1]
+    said = {b: _unpack(blob, n, np.int64, np.int32)[:2] for b, n, blob in zip(judged.column("bucket").to_pylist(), judged.column("n").to_pylist(), judged.column("blob").to_pylist())}
+    for b, texts, _, _ in _dealt(found, *_shared_of(told), length, buckets):
+        docs, at = np.repeat(*said[b]), 0
+        for t in texts:
+            v = docs[at: at + len(t) - length + 1]
+            at += len(v)
             answer[t] = np.minimum(answer[t], v) if t in answer else v
-            at, d = at + s, d + s - length + 1
     mask = np.zeros(len(raw), bool)
     for i, j, buf, part, first, size, doc, texts, way in blocks:
         if not len(first):
@@ -449,11 +463,11 @@ def removed_masks(left: pa.Table, told: pa.Table, judged: pa.Table, length: int)
     return raw, off, mask
 
 
-def _remove(length: int, finish):
+def _remove(length: int, buckets: int, finish):
     def run(key, left, right):
         kind = right.column("kind").to_numpy()
         told, judged = (right.filter(pa.array(kind == k)) for k in (0, 1))
-        return finish(left, *removed_masks(left, told, judged, length))
+        return finish(left, *removed_masks(left, told, judged, length, buckets))
     return run
 
 
@@ -490,8 +504,8 @@ def _run(docs: DataFrame, length: int, hot_docs: int, group_bytes: int, finish,
     told = asked.groupBy("bucket").applyInArrow(_tell(hot_docs), _TOLD_SQL).repartition(n, "grp")
     sent = grouped.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(_gather(length, n), _SENT_SQL)
     judged = sent.groupBy("bucket").applyInArrow(_judge(length), _JUDGED_SQL)
-    back = told.withColumn("kind", F.lit(0)).union(judged.withColumn("kind", F.lit(1)))
-    return grouped.groupBy("grp").cogroup(back.groupBy("grp")).applyInArrow(_remove(length, finish), schema)
+    back = told.withColumn("bucket", F.lit(0)).withColumn("kind", F.lit(0)).union(judged.withColumn("kind", F.lit(1)))
+    return grouped.groupBy("grp").cogroup(back.groupBy("grp")).applyInArrow(_remove(length, n, finish), schema)
 
 
 def spans(docs: DataFrame, length: int = 50, hot_docs: int = 1000, group_bytes: int = 16 << 20) -> DataFrame:
