@@ -135,7 +135,7 @@ def code_prefix(c: Column) -> Column:
 
 def split_values(c: Column, pattern: str = "[;,]") -> Column:
     """Non-empty parts of a packed cell, folded to trimmed text, in order."""
-    return F.filter(F.transform(F.split(F.replace(F.coalesce(c, F.lit("")), F.lit(NBSP), F.lit(" ")), pattern), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.replace(F.coalesce(c, F.lit("")), F.lit(NBSP), F.lit(" ")), pattern), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def _parts(c: Column, one) -> Column:

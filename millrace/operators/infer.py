@@ -57,9 +57,9 @@ def prompt_summary(p: Column) -> Column:
 
 def complete(df: DataFrame, prompt: str, backend: Backend) -> DataFrame:
     """df with answer and logprobs; prompts go to the backend in batches."""
-    from pyspark.sql.types import StructType
+    from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-    schema = StructType(list(df.schema.fields)).add("answer", "string").add("logprobs", "array<double>")
+    schema = StructType(list(df.schema.fields)).add("answer", "string").add("logprobs", ArrayType(DoubleType()))
 
     def run(batches):
         for pdf in batches:

@@ -112,6 +112,14 @@ def styled(text: str, style: int, rng: random.Random) -> str:
     return case(" ".join(words))
 
 
+def styles(n: int = 21, seed: int = 42):
+    """Column function (text, key): the text in the style that the key picks."""
+    @F.pandas_udf("string")
+    def run(texts: pd.Series, keys: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else styled(t, int(k) % n, random.Random(f"{seed}:{k}")) for t, k in zip(texts, keys)])
+    return run
+
+
 def _udf(fn):
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "flagship_curate_profile"
 #: Modules whose import registers queries.
-AREAS: tuple[str, ...] = ()
+AREAS = ("relational_queries", "text_queries", "model_queries")
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}

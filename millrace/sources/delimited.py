@@ -48,10 +48,10 @@ def aliased_table(df: DataFrame, order: str | None = None) -> DataFrame:
     return rows.select((F.coalesce(*ids, made) if ids else made).alias("id"), text.alias("text"))
 
 
-def split_last(df: DataFrame, line: str = "value", sep: str = ",") -> DataFrame:
+def split_last(df: DataFrame, line: str = "value", sep: str = ",", keep: list[str] = ()) -> DataFrame:
     """(prompt, output) of lines split at their last separator; a line without one is all prompt."""
     c = F.col(line)
-    return df.select(F.when(c.contains(sep), F.regexp_extract(c, rf"(?s)^(.*)\{sep}[^\{sep}]*$", 1)).otherwise(c).alias("prompt"), F.when(c.contains(sep), F.element_at(F.split(c, rf"\{sep}"), -1)).otherwise("").alias("output"))
+    return df.select(*keep, F.when(c.contains(sep), F.regexp_extract(c, rf"(?s)^(.*)\{sep}[^\{sep}]*$", 1)).otherwise(c).alias("prompt"), F.when(c.contains(sep), F.element_at(F.split(c, rf"\{sep}"), -1)).otherwise("").alias("output"))
 
 
 def join_cells(df: DataFrame, columns: list[str]) -> DataFrame:
