@@ -39,20 +39,22 @@ def multi_capped(df: DataFrame, key: str, caps: dict[str, int], total: int | Non
 
     def greedy(pdf):
         used, keep = [{} for _ in caps], []
-        for i, row in enumerate(pdf.itertuples(index=False)):
+        for i, row in enumerate(pdf[names].itertuples(index=False)):
             values = [getattr(row, c) for c in caps]
             if (total is None or len(keep) < total) and all(u.get(v, 0) < cap for u, v, cap in zip(used, values, caps.values())):
                 keep.append(i)
                 for u, v in zip(used, values):
                     u[v] = u.get(v, 0) + 1
-        return pdf.iloc[keep]
+        return pdf.iloc[keep][names]
+
+    names = df.columns
 
     def run(pdf):
         import hashlib
 
         at = pdf[key].map(lambda k: hashlib.md5(f"{seed}:{k}".encode()).hexdigest())
         return greedy(pdf.assign(_h=at).sort_values("_h", kind="stable").drop(columns="_h"))
-    return df.groupBy(bucket or F.lit(0)).applyInPandas(run, schema)
+    return df.withColumn("_bucket", F.col(bucket) if bucket else F.lit(0)).groupBy("_bucket").applyInPandas(run, schema)
 
 
 def topped_up(df: DataFrame, key: str, caps: dict[str, int], bucket: str, per_bucket: int, total: int, seed: int = 42) -> DataFrame:
