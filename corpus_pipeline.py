@@ -20,15 +20,15 @@ MIN_SCORE = 0.4
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language the word-level field decides; those without letters, or undecided, go."""
     model = langid.fit(docs.where(~langid.held_out()))
-    labelled = langid.predict(docs, model)
-    return labelled.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(docs.columns)
+    labelled = langid.predict(docs, model, ("__lang_pred", "__score"))
+    return labelled.where((F.col("__lang_pred") != langid.UNKNOWN) & (F.col("__score") >= MIN_SCORE)).drop("__lang_pred", "__score")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each SimHash group, and one row of it."""
     groups = simhash.near_duplicates(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"])
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi").dropDuplicates(["doc_id"])
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

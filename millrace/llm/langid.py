@@ -11,7 +11,7 @@ documents are labelled whole; chains of many documents advance together in numpy
 in a bounded cache per Python worker. Nothing is shuffled.
 
 Defined cases: a null or letterless text is "und" with score 0; without labelled documents everything is "und"; repeated
-rows repeat; an empty table stays empty; other columns are not carried by predict().
+rows repeat; an empty table stays empty; predict() carries all columns.
 """
 
 from __future__ import annotations
@@ -199,8 +199,9 @@ def label_batch(model: LanguageCRF, raw: np.ndarray, off: np.ndarray, key: int,
     return langs, scores
 
 
-def predict(docs: DataFrame, model: LanguageCRF) -> DataFrame:
-    """docs with lang_pred and score; only text is looked at."""
+def predict(docs: DataFrame, model: LanguageCRF, to: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with language and score in the columns `to` (columns of these names are replaced); only text is looked at."""
+    docs = docs.drop(*to)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
 
@@ -215,9 +216,9 @@ def predict(docs: DataFrame, model: LanguageCRF) -> DataFrame:
             for i, j in blocks_of(off, 4 << 20):
                 langs, scores = label_batch(crf, raw[off[i]: off[j]], off[i: j + 1] - off[i], key)
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, *to])
 
-    schema = StructType(list(docs.schema.fields)).add("lang_pred", "string").add("score", "double")
+    schema = StructType(list(docs.schema.fields)).add(to[0], "string").add(to[1], "double")
     return docs.mapInArrow(run, schema)
 
 

@@ -489,7 +489,7 @@ def _cut_table(left, raw, off, mask) -> pa.Table:
         if m.any():
             values[k] = raw[off[k]: off[k + 1]][~m].tobytes().decode("utf-8", "ignore")
     at = left.schema.get_field_index("text")
-    return left.set_column(at, "text", pa.array(values, pa.string())).drop_columns(["grp"])
+    return left.set_column(at, "text", pa.array(values, pa.string())).drop_columns(["__grp"])
 
 
 def _run(docs: DataFrame, length: int, hot_docs: int, group_bytes: int, finish, schema) -> DataFrame:
@@ -498,14 +498,16 @@ def _run(docs: DataFrame, length: int, hot_docs: int, group_bytes: int, finish,
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // group_bytes), 1)
-    text = docs.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
-    grouped = text.repartition(n, "grp")
-    asked = text.select(F.col("doc_id").cast("bigint"), "grp", "text").mapInArrow(_ask(length, n), _ASK_SQL)
+    if "__grp" in docs.columns:
+        raise ValueError("the column name __grp is taken")
+    text = docs.withColumn("__grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    grouped = text.repartition(n, "__grp")
+    asked = text.select(F.col("doc_id").cast("bigint"), "__grp", "text").mapInArrow(_ask(length, n), _ASK_SQL)
     told = asked.groupBy("bucket").applyInArrow(_tell(hot_docs), _TOLD_SQL).repartition(n, "grp")
-    sent = grouped.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(_gather(length, n), _SENT_SQL)
+    sent = grouped.groupBy("__grp").cogroup(told.groupBy("grp")).applyInArrow(_gather(length, n), _SENT_SQL)
     judged = sent.groupBy("bucket").applyInArrow(_judge(length), _JUDGED_SQL)
     back = told.withColumn("bucket", F.lit(0)).withColumn("kind", F.lit(0)).union(judged.withColumn("kind", F.lit(1)))
-    return grouped.groupBy("grp").cogroup(back.groupBy("grp")).applyInArrow(_remove(length, n, finish), schema)
+    return grouped.groupBy("__grp").cogroup(back.groupBy("grp")).applyInArrow(_remove(length, n, finish), schema)
 
 
 def spans(docs: DataFrame, length: int = 50, hot_docs: int = 1000, group_bytes: int = 16 << 20) -> DataFrame:
