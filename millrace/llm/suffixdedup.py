@@ -291,7 +291,7 @@ def suffix_order(sym: np.ndarray, depth: int) -> np.ndarray:
     per = 4 if wide else 8
     pad = np.concatenate([sym.astype(">u2" if wide else np.uint8), np.zeros(per, ">u2" if wide else np.uint8)])
     word = np.ndarray((n,), ">u8", np.ascontiguousarray(pad).data, strides=(pad.itemsize,)).astype(np.uint64)
-    order = np.argsort(word, kind="stable")
+    order = np.argsort(word)
     span = per
     w = word[order]
     while True:
@@ -301,8 +301,8 @@ def suffix_order(sym: np.ndarray, depth: int) -> np.ndarray:
             return order
         nxt = np.zeros(n, np.int64)
         nxt[: n - span] = rank[span:] if span < n else 0
-        word = (rank << 32) | nxt
-        order = np.argsort(word, kind="stable")
+        word = ((rank << 32) | nxt).view(np.uint64)
+        order = np.argsort(word)
         w = word[order]
         span *= 2
 
@@ -317,10 +317,11 @@ class Wavelet:
             bit = (sym >> b) & 1
             self.ranks.append(np.concatenate([[0], np.cumsum(1 - bit)]).astype(np.int32))
             self.zeros.append(int(self.ranks[-1][-1]))
-            sym = np.concatenate([sym[bit == 0], sym[bit == 1]])
-        value = np.sort(np.unique(sym))
-        self.first = np.zeros(1 << self.bits, np.int64)  # place of a symbol's first occurrence in the last level
-        self.first[value] = [int(np.argmax(sym == v)) for v in value]
+            one = bit.astype(bool)
+            sym = np.concatenate([sym[~one], sym[one]])
+        head = np.flatnonzero(np.append(True, sym[1:] != sym[:-1]))  # equal symbols end up together
+        self.first = np.zeros(1 << self.bits, np.int64)
+        self.first[sym[head]] = head
 
     def expand(self, lo: np.ndarray, hi: np.ndarray):
         """(symbol, occurrences before lo, occurrences before hi) of every symbol in every range [lo, hi)."""
@@ -386,7 +387,7 @@ _JUDGED = pa.schema([("grp", pa.int32()), ("n", pa.int32()), ("blob", pa.binary(
 _JUDGED_SQL = "grp int, n int, blob binary, bucket int"
 
 
-def _judge(length: int, batch_bytes: int = 2 << 20):
+def _judge(length: int, batch_bytes: int = 1 << 18):
     """The smallest docs of all windows, back to the groups in the order in which each sent its texts."""
     def run(key, table):
         least: dict[bytes, int] = {}
@@ -456,9 +457,7 @@ def removed_masks(left: pa.Table, told: pa.Table, judged: pa.Table, length: int,
             values.append(v)
         where = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
         hit = where[np.concatenate(values) < np.repeat(ids[i:j][doc], size)]
-        delta = np.zeros(len(buf) + 1, np.int32)
-        np.add.at(delta, hit, 1)
-        np.add.at(delta, hit + length, -1)
+        delta = np.bincount(hit, minlength=len(buf) + 1) - np.bincount(hit + length, minlength=len(buf) + 1)
         mask[off[i]: off[j]] = np.cumsum(delta[:-1]) > 0
     return raw, off, mask
 
