@@ -101,3 +101,20 @@ def sections(weights=None):
             return out
         return texts.map(one)
     return run
+
+
+def tag_windows(df, key: str, text: str, backend, size: int = 2000, step: int = 1800):
+    """(key, spans): a backend tags windows of the text; offsets are shifted to the whole text and repeats dropped.
+
+    The backend answers each window with lines 'start end CATEGORY'; lines that are not so are ignored.
+    """
+    from millrace.operators.infer import complete
+    from millrace.operators.sample import char_windows
+
+    answers = complete(char_windows(df, key, text, size, step), "piece", backend)
+    line = F.lit(r"(?m)^(\d+) (\d+) ([A-Z_]+)$")
+    part = lambda g: F.regexp_extract_all("answer", line, g)
+    hits = answers.select(key, "start", F.explode(F.arrays_zip(part(1).alias("a"), part(2).alias("b"), part(3).alias("c"))).alias("x"))
+    span = F.struct((F.col("x.a").cast("int") + F.col("start")).alias("start"), (F.col("x.b").cast("int") + F.col("start")).alias("end"), F.col("x.c").alias("category"))
+    spans = hits.groupBy(key).agg(F.array_sort(F.collect_set(span)).alias("spans"))
+    return df.select(key).join(spans, key, "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))

@@ -117,3 +117,30 @@ def test_flat_file(spark, tmp_path):
 def test_split_last(spark):
     df = spark.createDataFrame([("a,b,c",), ("none",), ("",)], "value string")
     assert [tuple(r) for r in delimited.split_last(df).collect()] == [("a,b", "c"), ("none", ""), ("", "")]
+
+
+def test_fetch_retries_and_marks_errors(spark):
+    from millrace.sources import fetch
+
+    calls = []
+
+    def get(k):
+        calls.append(k)
+        if len(calls) < 3:
+            raise OSError
+        return "<a/>"
+    assert fetch.with_retry(get, "k", fetch.well_formed, sleep=lambda s: None) == "<a/>" and len(calls) == 3
+    assert fetch.with_retry(lambda k: "<a", "k", fetch.well_formed, tries=2, sleep=lambda s: None) == "error"
+    keys = spark.createDataFrame([("1",), ("2",)], "run_accession string")
+    assert {tuple(r) for r in fetch.fetch(keys, lambda k: f"<r>{k}</r>").collect()} == {("1", "<r>1</r>"), ("2", "<r>2</r>")}
+
+
+def test_windowed_tags_are_shifted(spark):
+    from millrace.operators.spans import tag_windows
+
+    class Finder:
+        def complete(self, prompts):
+            return [(f"{p.find('skin')} {p.find('skin') + 4} ORGAN" if "skin" in p else "nothing", [0.0]) for p in prompts]
+    df = spark.createDataFrame([(1, "x" * 25 + "skin" + "y" * 30), (2, "")], "k long, t string")
+    got = {r.k: [tuple(s) for s in r.spans] for r in tag_windows(df, "k", "t", Finder(), 20, 10).collect()}
+    assert got == {1: [(25, 29, "ORGAN")], 2: []}
