@@ -40,6 +40,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:
+    """At most rows rows of df, those with the smallest hashes of key.
+
+    Rows are first cut to about 1.5 times as many by a bound on the hash, so that tasks have few rows each to offer,
+    however many tasks there are. key should tell rows apart: rows with one key stay or go together.
+    """
+    span = 1 << 30
+    h = F.pmod(F.xxhash64(*key), F.lit(span))
+    total = df.count()
+    if total > 2 * rows:
+        df = df.where(h < max(1, min(span, -(-span * 3 * max(rows, 200) // (2 * total)))))
+    return df.orderBy(h, *key).limit(rows)
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -6,7 +6,7 @@ weights are learned with the feature weights by maximum likelihood (forward-back
 join stretches of labelled documents, so that they switch language and the transitions are learned. Forward-backward
 gives each word's posterior; a document's language is the one with the largest mean posterior, which is its score.
 
-The model is fitted on at most train_docs whole labelled documents, those with the smallest hashes of their text. All
+The model is fitted on at most train_docs whole labelled documents, those with the smallest hashes of doc_id. All
 documents are labelled whole; chains of many documents advance together in numpy. Emissions of distinct words are kept
 in a bounded cache per Python worker. Nothing is shuffled.
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import binary_parts, blocks_of
+from .common import binary_parts, blocks_of, hash_sample
 from .wordsplit import LETTER, Pieces, byte_classes
 
 TRAIN_DOCS = 1500
@@ -146,9 +146,10 @@ class LanguageCRF:
         return self
 
 
-def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> LanguageCRF:
-    """Model from labelled(text, lang): at most train_docs whole documents."""
-    rows = labelled.where("lang is not null and text is not null").select("text", "lang").orderBy(F.xxhash64("text"), "lang").limit(train_docs).collect()
+def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS, key: str = "doc_id") -> LanguageCRF:
+    """Model from labelled(key, text, lang): at most train_docs whole documents, chosen by a hash of key."""
+    known = labelled.where("lang is not null and text is not null").select(key, "text", "lang")
+    rows = hash_sample(known, train_docs, key).select("text", "lang").collect()
     labels = sorted({r[1] for r in rows})
     return LanguageCRF(labels).fit([r[0] for r in rows], [r[1] for r in rows]) if labels else LanguageCRF([])
 

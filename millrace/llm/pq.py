@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, written
+from .common import connected_components, hash_sample, written
 from .simhash import merge_labels
 
 TRAIN_ROWS = 16_384
@@ -172,7 +172,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, n_probe: int = 1
     if total < 2:
         found = spark.createDataFrame([], "a bigint, b bigint, n bigint")
     else:
-        sample = _unit([bytes(r[0]) for r in reps.orderBy(F.xxhash64("key"), "key").limit(train_rows).select("vec").collect()])
+        sample = _unit([bytes(r[0]) for r in hash_sample(reps, train_rows, "key").select("vec").collect()])
         shared = spark.sparkContext.broadcast(Quantiser(sample, min(max_cells, max(1, math.isqrt(total)))))
         indexed = written(reps.select("rep", "n", "vec").mapInArrow(_index(shared, n_probe), "rep bigint, n bigint, vec binary, cells array<int>, code binary, rest double"), "inverted-lists")
         sizes = indexed.select(F.explode(F.expr("transform(cells, (c, i) -> named_struct('cell', c, 'home', i = 0))")).alias("c")).groupBy("c.cell").agg(

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import hash_sample
+
 TRAIN_ROWS = 20_000
 FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "symbol_ratio", "entropy", "host_entropy", "params",
             "query_length", "host_digits", "host_hyphens", "longest_label", "longest_segment", "vowel_ratio", "https", "suffix_length", "suffix_rate", "domain_rate")
@@ -141,7 +143,8 @@ def smoothed_rates(urls: list[str | None], y: np.ndarray, prior: float = 20.0) -
 
 def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[BoostedTrees, dict[str, float]]:
     """Trees from labelled(url, block 0/1), fitted on the train_rows distinct rows with the smallest hashes."""
-    rows = labelled.where("block is not null").select("url", F.col("block").cast("int").alias("block")).distinct().orderBy(F.xxhash64("url"), "url", "block").limit(train_rows).collect()
+    known = labelled.where("block is not null").select("url", F.col("block").cast("int").alias("block")).distinct()
+    rows = hash_sample(known, train_rows, "url", "block").collect()
     urls, y = [r[0] for r in rows], np.array([r[1] for r in rows], float)
     rates = smoothed_rates(urls, y)
     x = np.array([features(u, rates) for u in urls], float).reshape(len(urls), len(FEATURES))
