@@ -27,7 +27,7 @@ from pyspark.sql.types import StructType
 from .common import binary_parts, blocks_of, hash_sample
 from .wordsplit import LETTER, Pieces, byte_classes
 
-TRAIN_DOCS = 1500
+TRAIN_DOCS = 600
 UNKNOWN = "und"
 _BITS = 17
 _CACHE = 1 << 18
@@ -79,15 +79,15 @@ class LanguageCRF:
         starts, lengths = starts[order], lengths[order]
         live = np.searchsorted(-lengths, -np.arange(lengths[0] if len(lengths) else 0), side="left")  # chains longer than t
         e = np.exp(emit - emit.max(axis=1, keepdims=True))
-        step = np.exp(self.moves - self.moves.max())
-        alpha, out = np.empty((n, k)), np.empty((n, k))
+        step = np.exp(self.moves - self.moves.max()).astype(emit.dtype)
+        alpha, out = np.empty((n, k), emit.dtype), np.empty((n, k), emit.dtype)
         a = None
         for t, m in enumerate(live):
             at = starts[:m] + t
             a = e[at] if t == 0 else (a[:m] @ step) * e[at]
             a /= a.sum(axis=1, keepdims=True)
             alpha[at] = a
-        beta, moved = np.zeros((0, k)), np.zeros((k, k))
+        beta, moved = np.zeros((0, k), emit.dtype), np.zeros((k, k))
         for t in range(len(live) - 1, -1, -1):
             m = live[t]
             at = starts[:m] + t
@@ -97,9 +97,9 @@ class LanguageCRF:
                 if pairs:
                     joint = alpha[at[: live[t + 1]]][:, :, None] * step * nxt[:, None, :]
                     moved += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-                beta = np.concatenate([back / back.sum(axis=1, keepdims=True), np.ones((m - live[t + 1], k))])
+                beta = np.concatenate([back / back.sum(axis=1, keepdims=True), np.ones((m - live[t + 1], k), emit.dtype)])
             else:
-                beta = np.ones((m, k))
+                beta = np.ones((m, k), emit.dtype)
             p = alpha[at] * beta
             out[at] = p / p.sum(axis=1, keepdims=True)
         return (out, moved) if pairs else out
@@ -118,7 +118,8 @@ class LanguageCRF:
         self.lexicon = frozenset(f for f, n in met.items() if n >= 2)
         ids = [self.features(p) for p in distinct]
         sizes = np.array([len(i) for i in ids])
-        flat, starts = np.fromiter((x for i in ids for x in i), np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        flat, starts = np.fromiter((x for i in ids for x in i), np.int32), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        del ids, met
         doc_start = np.concatenate([[0], np.cumsum(counts)])
         cuts = np.unique(np.concatenate([np.arange(a, b, stretch) for a, b in zip(doc_start, doc_start[1:])] + [[len(index)]])).astype(np.int64)
         turn = np.random.default_rng(seed).permutation(len(cuts) - 1)
@@ -135,7 +136,7 @@ class LanguageCRF:
         m1 = [np.zeros_like(self.weights), np.zeros_like(self.moves)]
         m2 = [np.zeros_like(self.weights), np.zeros_like(self.moves)]
         for r in range(1, rounds + 1):
-            emit = np.add.reduceat(self.weights[flat], starts, axis=0)
+            emit = np.add.reduceat(self.weights.astype(np.float32)[flat], starts, axis=0)
             post, moved = self.posteriors(emit[index], lengths, pairs=True)
             diff = truth - np.stack([np.bincount(index, post[:, j], len(distinct)) for j in range(k)], 1)
             grads = [np.stack([np.bincount(flat, np.repeat(diff[:, j], sizes), 1 << _BITS) for j in range(k)], 1) / total - decay * self.weights, (gold_moves - moved) / total - decay * self.moves]
