@@ -2,13 +2,17 @@
 
 Equal vectors are one node with a count. A coarse quantiser of about sqrt(n) cells and one codebook per subspace of the
 residuals are fitted on at most train_rows distinct vectors, those with the smallest hashes. Every distinct vector is
-indexed in its nearest cell with its code and the length of what the code leaves out; it asks the n_probe nearest cells.
-Within a cell, distances come from the query's tables of subspace distances. As a code is at most its remainder away
-from its vector, a query keeps every vector whose table distance is within the radius plus that remainder, so within the
-cells probed the filter loses nothing. What is kept is judged by the cosine in double precision.
+indexed in its nearest cell with its code and the length of what the code leaves out; it asks every cell that the radius
+can reach: a cell goes only if its centroid is farther than the radius plus the cell's largest member distance, or if the
+vector is farther than the radius beyond the plane between the cell's centroid and its own. Neither loses a link.
+Distances come from the query's tables of products with the codes. As a code is at most its remainder away from its
+vector, a query keeps every vector whose table distance is within the radius plus that remainder, so the filter loses
+nothing either. What is kept is judged by the cosine in double precision, each pair once for both of its vectors.
 
-A cell is dealt out as a grid of index chunks and query blocks of bounded size. A task gives one count per query and one
-edge per member of its local components, never the pairs. Defined cases: vectors that are null, zero, of another length
+Cells are packed into blocks of bounded size, and larger cells split over several. A vector goes to the blocks that hold
+cells it reaches, to one of each two blocks that meet. A task gives counts and one edge per member of its local
+components, never the pairs. Data without structure reaches nearly all cells: pairs are then compared by table as the
+square of the distinct vectors, and rows dealt grow as its power of 1.5. Defined cases: vectors that are null, zero, of another length
 than the commonest, or hold null or non-finite components link with nothing and are their own component; repeated rows
 count as vectors; an empty table stays empty; other columns are not carried. A null vec_id keeps its row.
 """
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +32,8 @@ from .common import connected_components, hash_sample, written
 from .simhash import merge_labels
 
 TRAIN_ROWS = 16_384
+#: Widens bounds against rounding; what passes them is judged exactly.
+_SLACK = 1e-5
 
 
 def _keyed(dims: int):
@@ -88,81 +95,202 @@ class Quantiser:
         back = np.concatenate([book[codes[:, m]] for m, book in enumerate(self.books)], 1)
         return codes.astype(np.uint8), np.linalg.norm(rest - back, axis=1)
 
-    def tables(self, rest: np.ndarray) -> list[np.ndarray]:
-        """For each subspace, (queries, codes) squared distances."""
-        return [((rest[:, None, a:b] - book[None]) ** 2).sum(2) for a, b, book in zip(self.cuts, self.cuts[1:], self.books)]
+    def tables(self, x: np.ndarray) -> list[np.ndarray]:
+        """For each subspace, (codes, queries) products."""
+        return [(book @ x[:, a:b].T).astype(np.float32) for a, b, book in zip(self.cuts, self.cuts[1:], self.books)]
 
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        return np.concatenate([book[codes[:, m]] for m, book in enumerate(self.books)], 1)
 
-def _index(shared, n_probe: int):
+
+def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """(rows of x, rows of c) squared distances."""
+    return np.maximum((x**2).sum(1)[:, None] + (c**2).sum(1) - 2 * (x @ c.T), 0)
+
+
+class Layout:
+    """Which cells a vector reaches, and the blocks that hold each cell."""
+
+    def __init__(self, coarse: np.ndarray, sizes: np.ndarray, far: np.ndarray, radius: float, block: int):
+        self.coarse, self.radius = coarse, radius
+        self.limit = np.where(sizes > 0, (radius + far + _SLACK) ** 2 + _SLACK, -1.0)  # an empty cell is out of reach
+        self.chunks = np.maximum(1, -(-sizes // block))
+        self.first = np.zeros(len(sizes), np.int64)
+        at, room = -1, 0
+        for c, n in enumerate(sizes.tolist()):
+            if n > block:
+                self.first[c], at, room = at + 1, at + int(self.chunks[c]), 0
+            else:
+                if n > room or at < 0:
+                    at, room = at + 1, block
+                self.first[c] = at
+                room -= n
+        self.blocks = at + 1
+
+    def reached(self, x: np.ndarray, home: np.ndarray, cells: np.ndarray | None = None) -> np.ndarray:
+        """(rows of x, cells): whether the cell can hold a vector within the radius."""
+        c = self.coarse if cells is None else self.coarse[cells]
+        d = _distances(x, c)
+        own = self.coarse[home]
+        beyond = d - ((x - own) ** 2).sum(1)[:, None]
+        return (d <= (self.limit if cells is None else self.limit[cells])) & (beyond <= 2 * self.radius * np.sqrt(_distances(own, c)) + _SLACK)
+
+    def asked(self, x: np.ndarray, home: np.ndarray, block: np.ndarray) -> list[list[int]]:
+        """The other blocks each vector goes to; of two blocks, one is the other's index, by the parity of their sum."""
+        out = []
+        for row, b in zip(self.reached(x, home), block.tolist()):
+            to = np.zeros(self.blocks + 1, np.int64)  # marks of runs of blocks
+            np.add.at(to, self.first[row], 1)
+            np.add.at(to, self.first[row] + self.chunks[row], -1)
+            to = np.flatnonzero(np.cumsum(to))
+            out.append(to[np.where((to + b) % 2 == 0, to > b, to < b)].tolist())
+        return out
+
+
+def _index(shared):
     def run(batches):
         q = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 x = _unit([v.as_py() for v in part.column(2)])
-                cells = nearest(x, q.coarse, n_probe)
-                codes, rest = q.encode(x - q.coarse[cells[:, 0]])
-                yield pa.RecordBatch.from_arrays([
-                    part.column(0), part.column(1), part.column(2), pa.ListArray.from_arrays(pa.array(np.arange(0, cells.size + 1, cells.shape[1]), pa.int32()), pa.array(cells.ravel(), pa.int32())),
-                    pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(rest),
-                ], names=["rep", "n", "vec", "cells", "code", "rest"])
+                home = nearest(x, q.coarse, 1)[:, 0]
+                rest = x - q.coarse[home]
+                codes, left = q.encode(rest)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(home, pa.int32()), pa.array(np.linalg.norm(rest, axis=1)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(left)],
+                                                 names=["rep", "n", "vec", "cell", "far", "code", "rest"])
+    return run
+
+
+def _ask(shared):
+    def run(batches):
+        layout = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                x, home = _unit([v.as_py() for v in part.column(2)]), part.column(3).to_numpy()
+                block = layout.first[home] + np.array([zlib.crc32(v.as_py()) for v in part.column(2)], np.int64) % layout.chunks[home]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(block, pa.int32()), pa.array(layout.asked(x, home, block), pa.list_(pa.int32()))], names=[*part.schema.names, "home", "asked"])
     return run
 
 
-def _search(shared, threshold: float):
-    radius = math.sqrt(2 - 2 * threshold)
+class _Block:
+    """The index rows of a block; links() compares queries with them."""
 
-    def links(t: pa.Table):
-        q = shared.value
-        own = t.column("own").to_numpy(zero_copy_only=False)
-        rep, n = t.column("rep").to_numpy(), t.column("n").to_numpy()
-        x = _unit([v.as_py() for v in t.column("vec")])
-        cell = t.column("cell")[0].as_py()
-        ii, qq = np.flatnonzero(own), np.flatnonzero(~own)
-        if not len(ii) or not len(qq):
-            return None
-        codes = np.array([np.frombuffer(t.column("code")[int(i)].as_py(), np.uint8) for i in ii])
-        reach = (radius + t.column("rest").to_numpy()[ii] + 1e-9) ** 2
-        counts, pairs = np.zeros(len(qq), np.int64), []
-        nodes, inverse = np.unique(rep, return_inverse=True)
-        labels = np.arange(len(nodes))
-        for s in range(0, len(qq), 256):
-            mine = qq[s: s + 256]
-            tables = q.tables(x[mine] - q.coarse[cell])
-            dist = sum(table[:, codes[:, m]] for m, table in enumerate(tables))
-            a, b = np.nonzero(dist <= reach)
-            for p in range(0, len(a), 1 << 16):
-                u, v = mine[a[p: p + (1 << 16)]], ii[b[p: p + (1 << 16)]]
-                ok = (np.einsum("ij,ij->i", x[u], x[v]) >= threshold) & (rep[u] != rep[v])
-                np.add.at(counts, a[p: p + (1 << 16)][ok] + s, n[v[ok]])
-                labels = merge_labels(labels, inverse[u[ok]], inverse[v[ok]]) if ok.any() else labels
-        hit = np.flatnonzero(counts)
-        moved = np.flatnonzero(labels != np.arange(len(nodes)))
-        return pa.RecordBatch.from_arrays([
-            pa.array(np.concatenate([rep[qq[hit]], nodes[moved]])), pa.array(np.concatenate([rep[qq[hit]], nodes[labels[moved]]])), pa.array(np.concatenate([counts[hit], np.zeros(len(moved), np.int64)])),
-        ], names=["a", "b", "n"])
+    def __init__(self, q: Quantiser, layout: Layout, threshold: float, t: pa.Table, chunk: int):
+        t = t.sort_by("cell")
+        self.q, self.layout, self.threshold, self.chunk = q, layout, threshold, chunk
+        self.rep, self.n, cell = (t.column(c).to_numpy() for c in ("rep", "n", "cell"))
+        self.x = _unit(t.column("vec").to_pylist())
+        self.cell = cell
+        self.codes = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(len(t), -1)
+        parts = q.decode(self.codes)
+        # Squared distance of a query u to a code: |u - centroid|^2 - 2 u.code + (2 centroid.code + |code|^2).
+        self.fixed = (2 * (q.coarse[cell] * parts).sum(1) + (parts**2).sum(1)).astype(np.float32)
+        self.reach = ((layout.radius + t.column("rest").to_numpy() + _SLACK) ** 2 + _SLACK).astype(np.float32)
+        self.starts = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell))
+        self.cells = cell[self.starts[:-1]]
+        self.counts, self.labels = np.zeros(len(t), np.int64), np.arange(len(t))
+
+    def links(self, x: np.ndarray, rep: np.ndarray, n: np.ndarray, cell: np.ndarray, place: np.ndarray | None = None):
+        """(count, label) of each query; place: the queries are rows of the block, and only later rows are theirs."""
+        size = len(self.rep)
+        counts, labels = np.zeros(len(x), np.int64), np.concatenate([self.labels, np.arange(size, size + len(x))])
+        node = np.arange(size, size + len(x)) if place is None else place
+        for s in range(0, len(x), self.chunk):
+            mine = slice(s, min(s + self.chunk, len(x)))
+            tables = self.q.tables(x[mine])
+            near = self.layout.reached(x[mine], cell[mine], self.cells)
+            base = _distances(x[mine], self.q.coarse[self.cells]).astype(np.float32)
+            for k, (lo, hi) in enumerate(zip(self.starts[:-1], self.starts[1:])):
+                at = np.flatnonzero(near[:, k])
+                if place is not None:
+                    at = at[place[mine][at] < hi - 1]
+                if not len(at):
+                    continue
+                every = 2 * len(at) > near.shape[0]
+                at = np.arange(near.shape[0]) if every else at
+                for i in range(lo, hi, 512):
+                    j = min(i + 512, hi)
+                    inner = np.zeros((j - i, len(at)), np.float32)
+                    for m, table in enumerate(tables):
+                        inner += (table if every else table[:, at])[self.codes[i:j, m]]
+                    found = base[at, k] - 2 * inner <= (self.reach - self.fixed)[i:j, None]
+                    if not found.any():
+                        continue
+                    u = at + s
+                    if np.count_nonzero(found) * 16 > found.size:  # dense: all cosines at once
+                        found &= self.x[i:j] @ x[u].T >= self.threshold
+                        b, a = np.nonzero(found)
+                        a, b = u[a], b + i
+                    else:
+                        b, a = np.nonzero(found)
+                        a, b = u[a], b + i
+                        ok = np.einsum("ij,ij->i", x[a], self.x[b]) >= self.threshold
+                        a, b = a[ok], b[ok]
+                    ok = rep[a] != self.rep[b]
+                    if place is not None:
+                        ok &= place[a] < b
+                    a, b = a[ok], b[ok]
+                    if len(a):
+                        counts += np.bincount(a, self.n[b], len(x)).astype(np.int64)
+                        self.counts += np.bincount(b, n[a], size).astype(np.int64)
+                        labels = merge_labels(labels, node[a], b)
+        self.labels = labels[:size]
+        return counts, labels[size:]
 
+
+def _found(rep, counts, labels, nodes, places) -> pa.RecordBatch:
+    hit, moved = np.flatnonzero(counts), np.flatnonzero(labels != places)
+    return pa.RecordBatch.from_arrays([
+        pa.array(np.concatenate([rep[hit], rep[moved]])), pa.array(np.concatenate([rep[hit], nodes[labels[moved]]])), pa.array(np.concatenate([counts[hit], np.zeros(len(moved), np.int64)])),
+    ], names=["a", "b", "n"])
+
+
+def _search(quantiser, layout, threshold: float, chunk: int):
+    """Rows come by block, its index rows first; only these are held."""
     def run(batches):
-        held = None
+        q, lay = quantiser.value, layout.value
+        key, rows, block = None, [], None
+
+        def opened() -> _Block | None:
+            if not rows:  # a share of a split cell may be empty
+                return None
+            b = _Block(q, lay, threshold, pa.Table.from_batches(rows).combine_chunks(), chunk)
+            rows.clear()
+            got, _ = b.links(b.x, b.rep, b.n, b.cell, np.arange(len(b.rep)))
+            b.counts += got
+            return b
+
+        def closed(b: _Block) -> pa.RecordBatch:
+            if b is None:
+                return _found(*[np.zeros(0, np.int64)] * 5)
+            return _found(b.rep, b.counts, b.labels, b.rep, np.arange(len(b.rep)))
+
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            held = t if held is None else pa.concat_tables([held, t]).combine_chunks()
-            while True:
-                same = np.ones(len(held), bool)
-                for c in ("cell", "chunk", "block"):
-                    same &= held.column(c).to_numpy() == held.column(c)[0].as_py()
-                if same.all():
-                    break
-                cut = int(np.argmin(same))
-                if (out := links(held.slice(0, cut).combine_chunks())) is not None:
-                    yield out
-                held = held.slice(cut).combine_chunks()
-        if held is not None and len(held) and (out := links(held)) is not None:
-            yield out
+            block_of, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            ends = np.append(np.flatnonzero((block_of[1:] != block_of[:-1]) | (asks[1:] != asks[:-1])) + 1, batch.num_rows)
+            i = 0
+            for j in ends.tolist():
+                part, now = batch.slice(i, j - i), int(block_of[i])
+                if key is not None and now != key:
+                    yield closed(block or opened())
+                    block = None
+                key = now
+                if not asks[i]:
+                    rows.append(part)
+                elif (block := block or opened()) is not None:
+                    t = pa.Table.from_batches([part])
+                    rep = t.column("rep").to_numpy()
+                    counts, labels = block.links(_unit(t.column("vec").to_pylist()), rep, t.column("n").to_numpy(), t.column("cell").to_numpy())
+                    yield _found(rep, counts, labels, np.concatenate([block.rep, rep]), np.arange(len(block.rep), len(block.rep) + len(rep)))
+                i = j
+        if key is not None:
+            yield closed(block or opened())
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, n_probe: int = 12, train_rows: int = TRAIN_ROWS, max_cells: int = 4096, chunk: int = 1024, block: int = 4096) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, train_rows: int = TRAIN_ROWS, max_cells: int = 4096, chunk: int = 1024, block: int = 4096, block_roots: int = 24) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of vectors(vec_id, embedding)."""
     spark = vectors.sparkSession
     dims = vectors.where("embedding is not null").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -173,15 +301,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, n_probe: int = 1
         found = spark.createDataFrame([], "a bigint, b bigint, n bigint")
     else:
         sample = _unit([bytes(r[0]) for r in hash_sample(reps, train_rows, "key").select("vec").collect()])
-        shared = spark.sparkContext.broadcast(Quantiser(sample, min(max_cells, max(1, math.isqrt(total)))))
-        indexed = written(reps.select("rep", "n", "vec").mapInArrow(_index(shared, n_probe), "rep bigint, n bigint, vec binary, cells array<int>, code binary, rest double"), "inverted-lists")
-        sizes = indexed.select(F.explode(F.expr("transform(cells, (c, i) -> named_struct('cell', c, 'home', i = 0))")).alias("c")).groupBy("c.cell").agg(
-            F.count_if("c.home").alias("own_rows"), F.count("*").alias("asks")).selectExpr("cell", f"cast(ceil(greatest(own_rows, 1) / {chunk}) as int) chunks", f"cast(ceil(asks / {block}) as int) blocks")
-        asked = indexed.select("rep", "n", "vec", "code", "rest", F.posexplode("cells").alias("pos", "cell")).join(F.broadcast(sizes), "cell")  # one row per cell, max_cells at most
-        own = asked.where("pos = 0").select("cell", F.pmod(F.xxhash64("rep"), "chunks").cast("int").alias("chunk"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(True).alias("own"), "rep", "n", "vec", "code", "rest")
-        ask = asked.select("cell", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), F.lit(False).alias("own"), "rep", "n", "vec", F.lit(None).cast("binary").alias("code"), F.lit(0.0).alias("rest"))
-        dealt = own.union(ask).repartition("cell", "chunk", "block").sortWithinPartitions("cell", "chunk", "block")
-        found = written(dealt.mapInArrow(_search(shared, threshold), "a bigint, b bigint, n bigint"), "links")
+        quantiser = Quantiser(sample, min(max_cells, max(1, math.isqrt(total))))
+        shared = spark.sparkContext.broadcast(quantiser)
+        indexed = written(reps.select("rep", "n", "vec").mapInArrow(_index(shared), "rep bigint, n bigint, vec binary, cell int, far double, code binary, rest double"), "inverted-lists")
+        sizes, far = np.zeros(len(quantiser.coarse), np.int64), np.zeros(len(quantiser.coarse))
+        for c, n, f in indexed.groupBy("cell").agg(F.count("*"), F.max("far")).collect():  # one row per cell, max_cells at most
+            sizes[c], far[c] = n, f
+        layout = Layout(quantiser.coarse, sizes, far, math.sqrt(max(0.0, 2 - 2 * threshold)), min(max(block, 1 << 16), max(block, block_roots * math.isqrt(total))))
+        placed = spark.sparkContext.broadcast(layout)
+        dealt = indexed.select("rep", "n", "vec", "cell", "code", "rest").mapInArrow(_ask(placed), "rep bigint, n bigint, vec binary, cell int, code binary, rest double, home int, asked array<int>")
+        dealt = dealt.select(F.explode(F.expr("concat(array(named_struct('block', home, 'asks', false)), transform(asked, b -> named_struct('block', b, 'asks', true)))")).alias("to"), "rep", "n", "vec", "cell", "code", "rest")
+        dealt = dealt.select("to.block", "to.asks", "rep", "n", "vec", "cell", *(F.when(~F.col("to.asks"), F.col(c)).alias(c) for c in ("code", "rest")))
+        dealt = dealt.repartition(4 * layout.blocks, "block").sortWithinPartitions("block", "asks")
+        found = written(dealt.mapInArrow(_search(shared, placed, threshold, chunk), "a bigint, b bigint, n bigint"), "links")
     roots = connected_components(found.where("n = 0").select("a", "b")).withColumnRenamed("node", "rep")
     links = found.where("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("other"))
     per_key = reps.select("key", "rep", "n").join(links, "rep", "left").join(roots, "rep", "left").select("key", (F.coalesce("other", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))

@@ -296,6 +296,22 @@ def test_vectors_equal_brute_force(spark):
     assert pq.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_of_a_large_group_keep_their_links(spark):
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=32)
+    near = centre / np.linalg.norm(centre) + 0.25 * rng.normal(size=(1500, 32)) / np.sqrt(32)
+    x = np.concatenate([rng.normal(size=(3000, 32)), near]).astype(np.float32)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id bigint, embedding array<float>").repartition(4)
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(axis=1) - 1
+    assert want[3000:].mean() > 1000
+    for kw in ({}, {"chunk": 64, "block": 200, "block_roots": 1}):
+        got = {r.vec_id: (r.n_links, r.component_id) for r in pq.near_duplicates(df, **kw).collect()}
+        assert [got[i][0] for i in range(len(x))] == want.tolist()
+        assert {got[i][1] for i in range(3000, len(x)) if want[i]} == {min(i for i in range(3000, len(x)) if want[i])}
+
+
 # --- URLs, languages, slots ---
 
 def test_url_parts_and_rules(spark):
