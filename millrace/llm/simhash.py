@@ -68,8 +68,9 @@ def bit_counts(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 _WEIGHTS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp) of every row."""
+def fingerprints(docs: DataFrame, shingle: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) of every row, and the columns to carry."""
+    kept = docs.select(F.col("doc_id").cast("bigint"), "text", *carry)
     def run(batches):
         for batch in batches:
             raw, off = binary_parts(batch.column(1))
@@ -80,9 +81,9 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
                 starts = np.concatenate([[0], np.cumsum([len(h) for h in hashes])])
                 counts = bit_counts(np.fromiter((x for h in hashes for x in h), np.uint64, starts[-1]), starts)
                 fp = ((2 * counts > np.diff(starts)[:, None]) * _WEIGHTS).sum(axis=1, dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(fp.view(np.int64)), *(batch.column(c).slice(i, j - i) for c in carry)], names=["doc_id", "fp", *carry])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return kept.mapInArrow(run, ", ".join(["doc_id bigint", "fp bigint", *(f"{c} {kept.schema[c].dataType.simpleString()}" for c in carry)]))
 
 
 def bit_pairs(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -262,13 +263,31 @@ def link_edges(fps: DataFrame, max_bits: int, max_group: int = 2048) -> DataFram
     return parted.mapInArrow(_verify(max_bits), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) of every row."""
-    each = written(fingerprints(docs, shingle), "fingerprints")
+def _labels(each: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, rep, root_fp): smallest doc_id and component of every distinct fingerprint."""
     reps = written(each.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
     edges = link_edges(reps.select("fp"), max_bits)
     roots = connected_components(edges).withColumnRenamed("node", "fp").withColumnRenamed("root", "root_fp")
-    labels = reps.join(roots, "fp", "left").withColumn("root_fp", F.coalesce("root_fp", "fp"))
+    return reps.join(roots, "fp", "left").withColumn("root_fp", F.coalesce("root_fp", "fp"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) of every row."""
+    each = written(fingerprints(docs, shingle), "fingerprints")
+    labels = _labels(each, max_bits)
     least = labels.groupBy("root_fp").agg(F.min("rep").alias("component_id"))
     by_fp = labels.join(least, "root_fp").select("fp", "component_id")
     return each.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def survivors(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
+    """One row of docs for each component: the smallest doc_id, nulls last, then by digests of the text and of the row."""
+    marks = {"__text": F.md5(F.col("text").cast("binary")), "__row": F.xxhash64(*docs.columns)}
+    each = written(fingerprints(docs.withColumns(marks), shingle, tuple(marks)), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *marks)
+    first = each.join(_labels(each, max_bits).select("fp", "root_fp"), "fp").groupBy("root_fp").agg(F.min(order).alias("k"))
+    kept = written(first.select(F.col("k.doc_id").alias("__kept_id"), *(F.col(f"k.{m}").alias(f"{m}_kept") for m in marks)), "survivors")
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__kept_id"))
+    for m in marks:
+        same = same & F.col(m).eqNullSafe(F.col(f"{m}_kept"))
+    return docs.withColumns(marks).join(kept, same, "left_semi").dropDuplicates(["doc_id", *marks]).select(*docs.columns)

@@ -405,3 +405,16 @@ def test_pipeline_stages_keep_columns_and_act(spark, tmp_path, monkeypatch):
     texts = {r.doc_id: r.text for r in left.collect()}
     assert not {100, 101, 102} & set(texts) and len(texts) >= 58 and not any(PASSAGE in t for t in texts.values())
     assert C.run(spark, str(tmp_path)).count() == len(texts)
+
+
+def test_pipeline_keeps_clean_rows_with_null_or_shared_ids(spark):
+    import corpus_pipeline as C
+
+    rng = random.Random(12)
+    text = lambda: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(60))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    data = [(None, a), (None, b), (None, b), (1, c), (7, c), (7, d), (7, e), (7, e), (None, d), (9, f), (8, f), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "x") for i, t in data], "doc_id bigint, text string, lang string, source string, n_chars bigint, score string").repartition(3)
+    got = C.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(None, a), (None, b), (1, c), (7, d), (7, e), (8, f), (None, None)], key=repr)
