@@ -40,8 +40,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text."""
-    return bpe.encode(docs, tokenizer_file("byte_bpe_50k.tiktoken")).withColumn("n_tokens", F.size("ids"))
+    """Token ids of every text, and the SHA-256 of the text that they decode to."""
+    return bpe.encode_and_decode(docs, tokenizer_file("byte_bpe_50k.tiktoken")).withColumn("n_tokens", F.size("ids"))
 
 
 def _renumbered(docs: DataFrame) -> DataFrame:

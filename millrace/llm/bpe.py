@@ -198,7 +198,8 @@ def vocabulary_of(path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(pieces), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
 
 
-def _finish(path: str, digests: bool):
+def _finish(path: str, digests: bool, with_ids: bool = False):
+    """Rows of documents from blocks: their ids, digests of ids and decoded bytes, or the ids and the latter digest."""
     def run(batches):
         for batch in batches:
             for r in range(batch.num_rows):
@@ -218,16 +219,22 @@ def _finish(path: str, digests: bool):
                     ids = values[_ranges(starts[at], sizes[at])]
                     piece_end = np.concatenate([[0], np.cumsum(sizes[at])])
                     doc_end = piece_end[ends[i: j + 1] - ends[i]]
-                    if not digests:
-                        yield pa.RecordBatch.from_arrays([doc_ids.slice(i, j - i), pa.ListArray.from_arrays(pa.array(doc_end, pa.int32()), pa.array(ids, pa.int32()))], names=["doc_id", "ids"])
+                    listed = None if digests else pa.ListArray.from_arrays(pa.array(doc_end, pa.int32()), pa.array(ids, pa.int32()))
+                    if not digests and not with_ids:
+                        yield pa.RecordBatch.from_arrays([doc_ids.slice(i, j - i), listed], names=["doc_id", "ids"])
                         continue
                     data, done = decode_bytes(ids, vocabulary_of(path))
                     byte_end = np.concatenate([[0], done])[doc_end].tolist()
-                    little, data, cuts = memoryview(ids.astype("<u4")).cast("B"), memoryview(data), doc_end.tolist()
+                    data = memoryview(data)
+                    decoded = pa.array([hashlib.sha256(data[a: b]).hexdigest() for a, b in zip(byte_end, byte_end[1:])])
+                    if with_ids:
+                        yield pa.RecordBatch.from_arrays([doc_ids.slice(i, j - i), listed, decoded], names=["doc_id", "ids", "decoded_sha256"])
+                        continue
+                    little, cuts = memoryview(ids.astype("<u4")).cast("B"), doc_end.tolist()
                     yield pa.RecordBatch.from_arrays([
                         doc_ids.slice(i, j - i), pa.array(np.diff(doc_end), pa.int64()),
                         pa.array([hashlib.sha256(little[4 * a: 4 * b]).hexdigest() for a, b in zip(cuts, cuts[1:])]),
-                        pa.array([hashlib.sha256(data[a: b]).hexdigest() for a, b in zip(byte_end, byte_end[1:])]),
+                        decoded,
                     ], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
     return run
 
@@ -243,6 +250,11 @@ def encode(docs: DataFrame, path: str, **options) -> DataFrame:
     return encoded_blocks(docs, path, **options).mapInArrow(_finish(path, False), "doc_id bigint, ids array<int>")
 
 
+def encode_and_decode(docs: DataFrame, path: str, **options) -> DataFrame:
+    """(doc_id, ids, decoded_sha256): the ids and a digest of the bytes decoded from them, in the pass that encodes."""
+    return encoded_blocks(docs, path, **options).mapInArrow(_finish(path, False, True), "doc_id bigint, ids array<int>, decoded_sha256 string")
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, bytes) from (doc_id, ids); null ids give null bytes."""
     def run(batches):

@@ -418,3 +418,12 @@ def test_pipeline_keeps_clean_rows_with_null_or_shared_ids(spark):
     got = C.near_duplicates(spark, docs, "")
     assert got.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(None, a), (None, b), (1, c), (7, d), (7, e), (8, f), (None, None)], key=repr)
+
+
+def test_pipeline_decodes_its_ids(spark, docs):
+    import corpus_pipeline as C
+
+    got = C.byte_bpe(spark, docs, "")
+    plain = {(r.doc_id, tuple(r.ids)) for r in bpe.encode(docs, RANKS).collect()}
+    assert {(r.doc_id, tuple(r.ids)) for r in got.collect()} == plain
+    assert rows(got.select("doc_id", "decoded_sha256")) == sorted(((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in DOCS), key=repr)
