@@ -364,9 +364,17 @@ def met11(spark, sf):
 _NOTES = ["A 54 years old male with melanoma of the skin, treated 24 h.", "No carcinoma. SK-MEL-28 bulk, resistant.", "Methods\nsingle-cell, lung\nContact\nblood", "", "plain words"]
 
 
+def _with_cell(cells):
+    """The whole text of a document, and below it an invented cell, so that rare branches are met."""
+    return F.concat_ws("\n", "text", S.pick(F.col("doc_id"), cells))
+
+
+def _noted(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", _with_cell(_NOTES).alias("t"))
+
+
 def _tagged(spark, sf):
-    t = S.pick(F.col("doc_id"), _NOTES)
-    return table(spark, sf, "documents").select("doc_id", t.alias("t")).withColumn("s", N.tag()(F.col("t")))
+    return _noted(spark, sf).withColumn("s", N.tag()(F.col("t")))
 
 
 def _shown(c):
@@ -392,7 +400,7 @@ def spn3(spark, sf):
 
 @query("str49_sections")
 def str49(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.explode(N.sections()(S.pick(F.col("doc_id"), _NOTES))).alias("x")).select("doc_id", "x.start", "x.end", "x.weight")
+    return _noted(spark, sf).select("doc_id", F.explode(N.sections()(F.col("t"))).alias("x")).select("doc_id", "x.start", "x.end", "x.weight")
 
 
 @query("spn4_negation_filter")
@@ -436,12 +444,16 @@ _MASKED = ["__AGE__ 54 and __AGE__ 33 years. The patient had skin lesions here.
 
 
 def _masked(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", S.pick(F.col("doc_id"), _MASKED).alias("t"))
+    return table(spark, sf, "documents").select("doc_id", S.pick(F.col("doc_id"), _MASKED).alias("t"))  # as in the SQL of str38 and str43
+
+
+def _texts(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", _with_cell(_MASKED).alias("t"))
 
 
 for _name, _fn in (("str37_39_term_markers", lambda: Y.replace_terms({"skin": "ORGAN", "melanoma": "DISEASE", "skin lesions": "DISEASE"}, {"ORGAN": 1})), ("str40_value_collapse", Y.collapse_values),
                    ("str41_mention_limit", Y.limit_mentions), ("str42_insert_missing", lambda: Y.insert_missing(["AGE", "ORGAN"])), ("str45_win8_number_scrub", lambda: Y.scrub_numbers("__age__"))):
-    query(_name)(lambda spark, sf, fn=_fn: _masked(spark, sf).select("doc_id", fn()(F.col("t")).alias("text")))
+    query(_name)(lambda spark, sf, fn=_fn: _texts(spark, sf).select("doc_id", fn()(F.col("t")).alias("text")))
 
 
 @query("str38_mask_clean_up", "SELECT doc_id, list_extract(['__AGE__ 54 and __AGE__ 33 years. The patient had skin lesions here. __SEX__', 'Melanoma of skin was treated for a long time. It came back after nine months.', 'skin, lung; end', ''], CAST(doc_id % 4 AS INTEGER) + 1) AS text FROM documents")
@@ -456,13 +468,13 @@ def str43(spark, sf):
 
 @query("str44_guarded_rewrite")
 def str44(spark, sf):
-    d = _masked(spark, sf).withColumn("n", Y.collapse_values()(F.col("t")))
+    d = _texts(spark, sf).withColumn("n", Y.collapse_values()(F.col("t")))
     return d.select("doc_id", Y.guarded(F.col("n"), F.col("t"), M.jaccard(F.col("n"), F.col("t")), 0.5).alias("text"))
 
 
 @query("str46_phrase_sanitiser")
 def str46(spark, sf):
-    return _masked(spark, sf).select("doc_id", Y.sanitise_phrase(["skin", "melanoma", "lung"])(F.col("t"), F.array(F.lit("skin"))).alias("text"))
+    return _texts(spark, sf).select("doc_id", Y.sanitise_phrase(["skin", "melanoma", "lung"])(F.col("t"), F.array(F.lit("skin"))).alias("text"))
 
 
 @query("jsn2_first_object")

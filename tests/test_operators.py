@@ -144,3 +144,111 @@ def test_windowed_tags_are_shifted(spark):
     df = spark.createDataFrame([(1, "x" * 25 + "skin" + "y" * 30), (2, "")], "k long, t string")
     got = {r.k: [tuple(s) for s in r.spans] for r in tag_windows(df, "k", "t", Finder(), 20, 10).collect()}
     assert got == {1: [(25, 29, "ORGAN")], 2: []}
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def _whole(spark, cells):
+    """doc_id and the text that the query is to work on, without its helpers."""
+    return {r.doc_id: "\n".join(x for x in (r.text, None if r.doc_id is None else cells[r.doc_id % len(cells)]) if x is not None) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+@pytest.fixture(scope="module")
+def tables():
+    from pathlib import Path
+
+    if not Path(SF).exists():
+        pytest.skip("no test tables")
+    from millrace.plans import model_queries, registry
+
+    return model_queries, lambda spark, name: {r[0]: r[1] for r in registry.queries()[name](spark, SF).collect()}
+
+
+def test_span_queries_read_whole_documents(spark, tables):
+    import re
+
+    from millrace.operators import spans
+
+    queries, run = tables
+    texts = _whole(spark, queries._NOTES)
+    tags = {k: sorted(((m.start(), m.end(), c) for c, p in spans.RULES for m in re.finditer(p, t)), key=lambda s: (s[0], -s[1], s[2])) for k, t in texts.items()}
+    shown = lambda ss: " ".join(f"{a}:{b}:{c}" for a, b, c in ss)
+    assert run(spark, "spn1_rule_tags") == {k: shown(s) for k, s in tags.items()}
+    cues = {k: [m.end() for m in re.finditer(spans.NEGATIONS, t)] for k, t in texts.items()}
+    assert run(spark, "spn4_negation_filter") == {k: shown(s for s in ss if not any(0 <= s[0] - e <= 40 for e in cues[k])) for k, ss in tags.items()}
+
+    def guarded(ss, t):
+        seen = set()
+        return [s for s in ss if not ((x := (s[2], t[s[0]: s[1]].upper())) in seen or seen.add(x))]
+    assert run(spark, "spn5_acronym_guard") == {k: shown(guarded(ss, texts[k])) for k, ss in tags.items()}
+    quiet = {}
+    for k, t in texts.items():
+        weight, at, quiet[k] = 0.8, 0, []
+        for line in t.split("\n"):
+            weight = spans.SECTION_WEIGHTS.get(line.strip().rstrip(":").lower(), weight)
+            quiet[k] += [weight < 0.5] * (len(line) + 1)
+    assert run(spark, "spn3_section_filter") == {k: shown(s for s in ss if not quiet[k][s[0]]) for k, ss in tags.items()}
+    codes = {k: [m.span() for m in re.finditer(r"\b[A-Za-z]+-?\d+\b|\b\d+ [a-z]\b", t)] for k, t in texts.items()}
+    assert run(spark, "spn7_enrich_codes") == {k: shown(ss + [(a, b, "CHUNK") for a, b in codes[k] if not any(s[0] < b and a < s[1] for s in ss)]) for k, ss in tags.items()}
+
+    def masked(ss):
+        kept = []
+        for s in ss:
+            if not kept or kept[-1][1] <= s[0]:
+                kept.append(s)
+        return " ".join(f"[{i + 1}] {s[2]}" for i, s in enumerate(kept))
+    assert run(spark, "spn8_masked_text") == {k: masked(ss) for k, ss in tags.items()}
+    from millrace.plans import registry
+
+    ends = {}
+    for r in registry.queries()["str49_sections"](spark, SF).collect():
+        ends[r.doc_id] = max(ends.get(r.doc_id, 0), r.end)
+    assert ends == {k: len(t) + 1 for k, t in texts.items() if t}
+
+
+def test_rewriting_queries_read_whole_documents(spark, tables):
+    import re
+
+    queries, run = tables
+    texts = _whole(spark, queries._MASKED)
+    both = {"skin lesions": "DISEASE", "melanoma": "DISEASE", "skin": "ORGAN"}
+
+    def markers(t):
+        left = [1]
+
+        def sub(m):
+            c = both[m.group(0).lower()]
+            if c == "ORGAN":
+                left[0] -= 1
+                return m.group(0) if left[0] < 0 else "__ORGAN__"
+            return f"__{c}__"
+        return re.sub(r"(?i)(?<!\w)(?:skin lesions|melanoma|skin)(?!\w)", sub, t)
+    assert run(spark, "str37_39_term_markers") == {k: markers(t) for k, t in texts.items()}
+    collapsed = {k: re.sub(r"(__[A-Z_]+?__)(?:[ :=,]+[\w.+-]*\d[\w.+-]*){1,4}", r"\1", t) for k, t in texts.items()}
+    assert run(spark, "str40_value_collapse") == collapsed
+
+    def scrubbed(t):
+        words = t.split(" ")
+        marked = [i for i, w in enumerate(words) if "__age__" in w.lower()]
+        return " ".join(w for i, w in enumerate(words) if not (re.fullmatch(r"\W*\d+(?:\.\d+)?\W*", w) and any(0 < abs(i - j) <= 4 for j in marked)))
+    assert run(spark, "str45_win8_number_scrub") == {k: scrubbed(t) for k, t in texts.items()}
+
+    def added(t):
+        parts = re.split(r"(?<=[.!?])\s+", t)
+        for i, c in enumerate(c for c in ("AGE", "ORGAN") if f"__{c}__" not in t):
+            parts[i % len(parts)] += f" __{c}__"
+        return " ".join(parts)
+    assert run(spark, "str42_insert_missing") == {k: added(t) for k, t in texts.items()}
+    clean = lambda t: re.sub(r" {2,}", " ", t).strip()
+    assert run(spark, "str46_phrase_sanitiser") == {k: clean(re.sub(r"(?i)(?<!\w)(?:melanoma|lung)(?!\w)", "", t)) for k, t in texts.items()}
+
+    def limited(t):
+        marks = {}
+        for m in re.finditer(r"__([A-Z_]+?)__", t):
+            marks.setdefault(m.group(1), []).append(m.span())
+        gone = {i for s in marks.values() for a, b in sorted(s, key=lambda s: (abs(sum(s) / 2 - len(t) / 2), s))[1:] for i in range(a, b)}
+        return clean("".join(c for i, c in enumerate(t) if i not in gone))
+    assert run(spark, "str41_mention_limit") == {k: limited(t) for k, t in texts.items()}
+    rewritten = run(spark, "str44_guarded_rewrite")
+    assert rewritten.keys() == texts.keys() and all(v in (texts[k], collapsed[k]) for k, v in rewritten.items())
