@@ -252,8 +252,8 @@ def vec20(spark, sf):
 @query("vec21_nearest_label")
 def vec21(spark, sf):
     e = _emb(spark, sf)
-    c = V.centroid(e.where("vec_id % 5 = 0"), "embedding", "label").select(F.col("label").cast("bigint"), "centroid")
-    return V.nearest_centre(e.where("vec_id % 5 <> 0"), "vec_id", "embedding", c).select("vec_id", "centre")
+    c = V.centroid(e, "embedding", "label").select(F.col("label").cast("bigint"), "centroid")
+    return V.nearest_centre(e, "vec_id", "embedding", c).select("vec_id", "centre")
 
 
 @query("vec22_threshold_sweep", "SELECT threshold, round(avg(CASE WHEN value / 20 >= threshold AND user_id % 2 = 0 THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM events, (SELECT unnest([0.30, 0.35, 0.40, 0.45, 0.50, 0.55, 0.60, 0.65, 0.70, 0.75, 0.80]::DOUBLE[]) AS threshold) g GROUP BY threshold")

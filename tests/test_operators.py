@@ -252,3 +252,15 @@ def test_rewriting_queries_read_whole_documents(spark, tables):
     assert run(spark, "str41_mention_limit") == {k: limited(t) for k, t in texts.items()}
     rewritten = run(spark, "str44_guarded_rewrite")
     assert rewritten.keys() == texts.keys() and all(v in (texts[k], collapsed[k]) for k, v in rewritten.items())
+
+
+def test_nearest_label_judges_every_vector(spark, tables):
+    _, run = tables
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+    u = np.array([r.embedding for r in rows], np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    labels = np.array([int(r.label) for r in rows])
+    known = sorted(set(labels.tolist()))
+    c = np.array([u[labels == k].mean(axis=0) for k in known])
+    s = u @ (c / np.linalg.norm(c, axis=1, keepdims=True)).T
+    assert run(spark, "vec21_nearest_label") == {r.vec_id: known[i] for r, i in zip(rows, s.argmax(axis=1).tolist())}
