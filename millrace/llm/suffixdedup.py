@@ -391,7 +391,7 @@ def _judge(length: int, batch_bytes: int = 1 << 18):
     """The smallest docs of all windows, back to the groups in the order in which each sent its texts."""
     def run(key, table):
         least: dict[bytes, int] = {}
-        by_gram: dict[int, list[bytes]] = {}
+        by_gram: dict[int, dict[bytes, None]] = {}  # a text can come as a run of its gram and as a window of its own key
         sent = []
         for grp, n, blob in zip(*(table.column(c).to_pylist() for c in ("grp", "n", "blob"))):
             keys, docs, sizes, raw = _unpack(blob, n, np.uint64, np.int64, np.int32)
@@ -399,9 +399,8 @@ def _judge(length: int, batch_bytes: int = 1 << 18):
             data, ends = raw.tobytes(), np.cumsum(sizes).tolist()
             texts = [data[b - s: b] for s, b in zip(sizes.tolist(), ends)]
             for t, g, d in zip(texts, keys.tolist(), docs.tolist()):
+                by_gram.setdefault(g, {})[t] = None
                 known = least.get(t)
-                if known is None:
-                    by_gram.setdefault(g, []).append(t)
                 if known is None or d < known:
                     least[t] = d
             sent.append((grp, texts))
@@ -409,13 +408,18 @@ def _judge(length: int, batch_bytes: int = 1 << 18):
         pool: list[bytes] = []
         held = 0
 
+        def told(t, docs):
+            answer[t] = np.minimum(answer[t], docs) if t in answer else docs
+
         def settle():
             if pool:
-                answer.update(zip(pool, smallest_docs(pool, np.array([least[t] for t in pool], np.int64), length)))
+                for t, docs in zip(pool, smallest_docs(pool, np.array([least[t] for t in pool], np.int64), length)):
+                    told(t, docs)
 
         for texts in by_gram.values():
-            if len(texts) == 1 and len(texts[0]) < 2 * length:
-                answer[texts[0]] = np.full(len(texts[0]) - length + 1, least[texts[0]])
+            only = next(iter(texts))
+            if len(texts) == 1 and len(only) < 2 * length:
+                told(only, np.full(len(only) - length + 1, least[only]))
                 continue
             pool += texts
             held += sum(map(len, texts))

@@ -271,6 +271,24 @@ def test_classes_of_prefixes_equal_brute_force():
             assert v.tolist() == [least[t[s: s + size]] for s in range(len(t) - size + 1)]
 
 
+def test_judge_compares_a_text_under_every_key_it_comes_with():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    t = bytes(rng.choice(b"abcdefgh") for _ in range(50))
+    run = b"xyz" + t + b"uvw"
+
+    def sent(grp, items):
+        keys = np.array([k for k, _, _ in items], np.uint64)
+        blob = suffixdedup._pack(np.diff(keys, prepend=np.uint64(0)), np.array([d for _, d, _ in items], np.int64), np.array([len(x) for _, _, x in items], np.int32), np.frombuffer(b"".join(x for _, _, x in items), np.uint8))
+        return {"grp": grp, "n": len(items), "blob": blob}
+
+    rows = [sent(0, [(1, 1, t), (2, 1, t)]), sent(1, [(2, 5, run)]), sent(2, [(1, 0, t)])]
+    got = suffixdedup._judge(50)((pa.scalar(0),), pa.Table.from_pylist(rows, pa.schema([("grp", pa.int32()), ("n", pa.int32()), ("blob", pa.binary())])))
+    docs = {r["grp"]: np.repeat(*suffixdedup._unpack(r["blob"], r["n"], np.int64, np.int32)[:2]).tolist() for r in got.to_pylist()}
+    assert docs == {0: [0, 0], 1: [5, 5, 5, 0, 5, 5, 5], 2: [0]}
+
+
 def test_remove_text_keeps_columns(spark, docs, empty):
     got = suffixdedup.remove_text(docs)
     assert got.columns == docs.columns and got.count() == len(DOCS)
