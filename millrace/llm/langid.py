@@ -4,7 +4,8 @@ Words are the runs of letters of a text, in chains of at most chain_words words.
 suffixes, character n-grams, and its identity if it is in the lexicon (words met at least twice in training). Transition
 weights are learned with the feature weights by maximum likelihood (forward-backward, full gradient, Adam). Training chains
 join stretches of labelled documents, so that they switch language and the transitions are learned. Forward-backward
-gives each word's posterior; a document's language is the one with the largest mean posterior, which is its score.
+gives each word's posterior, and so its label; predict() can return the labelled spans of words. A document's language is the
+one with the largest mean posterior, which is its score. Character n-grams are those of the whole word, however long.
 
 The model is fitted on at most train_docs whole labelled documents, those with the smallest hashes of doc_id. All
 documents are labelled whole; chains of many documents advance together in numpy. Emissions of distinct words are kept
@@ -22,27 +23,34 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from .common import binary_parts, blocks_of, hash_sample
 from .wordsplit import LETTER, Pieces, byte_classes
 
 TRAIN_DOCS = 600
 UNKNOWN = "und"
+SPANS = ArrayType(StructType().add("start", "integer").add("end", "integer").add("lang", "string").add("words", "integer"))
 _BITS = 17
 _CACHE = 1 << 18
 
 
 def letter_words(raw: np.ndarray, off: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """(distinct pieces, index of the distinct word at each place, words of each document); only pieces of letters."""
+    return placed_words(raw, off)[:3]
+
+
+def placed_words(raw: np.ndarray, off: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """letter_words(), and the first byte and the end of each word."""
     pieces = Pieces(raw, off)
     if not len(pieces.starts):
-        return [], np.zeros(0, np.int64), np.zeros(len(off) - 1, np.int64)
+        none = np.zeros(0, np.int64)
+        return [], none, np.zeros(len(off) - 1, np.int64), none, none
     first = pieces.starts + ((raw[pieces.starts] == 0x20) & (pieces.lengths > 1))
     letters = byte_classes(raw)[first] == LETTER
     sums = np.concatenate([[0], np.cumsum(letters)])
     cuts = np.concatenate([pieces.doc_of_first[: len(off) - 1], [len(pieces.starts)]])
-    return pieces.distinct, pieces.index[letters], np.diff(sums[cuts])
+    return pieces.distinct, pieces.index[letters], np.diff(sums[cuts]), first[letters], (pieces.starts + pieces.lengths)[letters]
 
 
 class LanguageCRF:
@@ -58,7 +66,7 @@ class LanguageCRF:
         w = "^" + piece.decode("utf-8", "replace").strip().lower() + "$"
         b = w.encode()
         names = [b"p" + w[:k].encode() for k in (2, 3, 4)] + [b"s" + w[-k:].encode() for k in (2, 3, 4, 5)]
-        names += [w[i: i + k].encode() for k in (2, 3) for i in range(max(1, min(len(w), 64) - k + 1))]
+        names += [w[i: i + k].encode() for k in (2, 3) for i in range(max(1, len(w) - k + 1))]
         if b in self.lexicon:
             names.append(b"w" + b)
         crc, mask = zlib.crc32, (1 << _BITS) - 1
@@ -177,12 +185,24 @@ def _cached_emissions(model: LanguageCRF, key: int, pieces: list[bytes]) -> np.n
     return out
 
 
-def label_batch(model: LanguageCRF, raw: np.ndarray, off: np.ndarray, key: int, chain_words: int = 256) -> tuple[list[str], np.ndarray]:
-    """(language, score) of each text."""
+def _spans(model: LanguageCRF, raw: np.ndarray, off: np.ndarray, post: np.ndarray, counts: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    """Per text, its runs of words with one label, in characters."""
+    label, doc = post.argmax(axis=1) if len(post) else np.zeros(0, np.int64), np.repeat(np.arange(len(counts)), counts)
+    head = np.flatnonzero(np.append(True, (label[1:] != label[:-1]) | (doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
+    last = np.append(head[1:], len(doc)) - 1 if len(head) else head
+    chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    base = chars[off[doc[head]]]
+    cells = [pa.array(chars[starts[head]] - base, pa.int32()), pa.array(chars[ends[last]] - base, pa.int32()), pa.array(model.labels, pa.string()).take(pa.array(label[head])), pa.array(last - head + 1, pa.int32())]
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[head], np.arange(len(counts) + 1)), pa.int32()), pa.StructArray.from_arrays(cells, names=["start", "end", "lang", "words"]))
+
+
+def label_batch(model: LanguageCRF, raw: np.ndarray, off: np.ndarray, key: int, chain_words: int = 256, spans: bool = False):
+    """(language, score, labelled spans or None) of each text."""
     docs = len(off) - 1
     if not model.labels or not docs:
-        return [UNKNOWN] * docs, np.zeros(docs)
-    distinct, index, counts = letter_words(raw, off)
+        none = np.zeros(0, np.int64)
+        return [UNKNOWN] * docs, np.zeros(docs), _spans(model, raw, off, none, np.zeros(docs, np.int64), none, none) if spans else None
+    distinct, index, counts, firsts, lasts = placed_words(raw, off)
     used, place = np.unique(index, return_inverse=True)
     emit = _cached_emissions(model, key, [distinct[i] for i in used])[place].astype(np.float64)
     chains = -(-counts // chain_words)
@@ -198,12 +218,16 @@ def label_batch(model: LanguageCRF, raw: np.ndarray, off: np.ndarray, key: int,
         langs[d] = model.labels[b]
     if len(full):
         scores[full] = np.clip(sums.max(axis=1), 0, 1)
-    return langs, scores
+    return langs, scores, _spans(model, raw, off, post, counts, firsts, lasts) if spans else None
+
 
+def predict(docs: DataFrame, model: LanguageCRF, to: tuple[str, str] = ("lang_pred", "score"), spans: str | None = None) -> DataFrame:
+    """docs with language and score in the columns `to` (columns of these names are replaced); only text is looked at.
 
-def predict(docs: DataFrame, model: LanguageCRF, to: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """docs with language and score in the columns `to` (columns of these names are replaced); only text is looked at."""
-    docs = docs.drop(*to)
+    spans names a column for the runs of words with one label: start and end in characters, language, number of words.
+    """
+    more = [spans] if spans else []
+    docs = docs.drop(*to, *more)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
 
@@ -216,11 +240,13 @@ def predict(docs: DataFrame, model: LanguageCRF, to: tuple[str, str] = ("lang_pr
         for batch in batches:
             raw, off = binary_parts(batch.column(place))
             for i, j in blocks_of(off, 4 << 20):
-                langs, scores = label_batch(crf, raw[off[i]: off[j]], off[i: j + 1] - off[i], key)
+                langs, scores, found = label_batch(crf, raw[off[i]: off[j]], off[i: j + 1] - off[i], key, spans=bool(more))
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, *to])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *([found] if more else [])], names=[*batch.schema.names, *to, *more])
 
     schema = StructType(list(docs.schema.fields)).add(to[0], "string").add(to[1], "double")
+    if more:
+        schema = schema.add(spans, SPANS)
     return docs.mapInArrow(run, schema)
 
 

@@ -78,7 +78,7 @@ def op8_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents")
     model = L.fit(docs.where(~L.held_out()))
-    return L.predict(docs.select("doc_id", "text"), model).select("doc_id", L.held_out().alias("held_out"), "lang_pred", "score")
+    return L.predict(docs.select("doc_id", "text"), model, spans="spans").select("doc_id", L.held_out().alias("held_out"), "lang_pred", "score", "spans")
 
 
 def op9_byte_planes(spark: SparkSession, sf_dir: str) -> DataFrame:

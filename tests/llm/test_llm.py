@@ -363,6 +363,21 @@ def test_languages_on_held_out_documents(spark):
     assert {r.lang_pred for r in langid.predict(df, langid.LanguageCRF([])).collect()} == {"und"}
 
 
+def test_languages_of_word_spans_and_of_whole_long_runs(spark):
+    vocab = {"en": "the of and house water going".split(), "de": "für und häuser wasser gehen ich".split()}
+    rng = random.Random(3)
+    words = lambda k, n: " ".join(rng.choice(vocab[k]) for _ in range(n))
+    data = [(i, words(k, 40), k) for i in range(200) for k in [rng.choice(list(vocab))]]
+    model = langid.fit(spark.createDataFrame(data, "doc_id bigint, text string, lang string"))
+    de, en = words("de", 12), words("en", 12)
+    some = spark.createDataFrame([(1, f"{de}. 12 {en}!"), (2, "12"), (3, None), (4, en)], "doc_id bigint, text string")
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in langid.predict(some, model, spans="spans").collect()}
+    at = len(de) + 5
+    assert got == {1: [(0, len(de), "de", 12), (at, at + len(en), "en", 12)], 2: [], 3: [], 4: [(0, len(en), "en", 12)]}
+    assert [r.spans for r in langid.predict(some, langid.LanguageCRF([]), spans="spans").collect()] == [[]] * 4
+    assert {zlib.crc32(b"ab") & ((1 << 17) - 1), zlib.crc32(b"xab") & ((1 << 17) - 1)} <= set(model.features(("x" * 80 + "ab" + "x" * 80).encode()))
+
+
 def test_marginals_equal_enumeration():
     from itertools import product
 
