@@ -1,9 +1,12 @@
 """Byte-level BPE: encoding by a fold of ranked merges in Spark's higher-order functions, decoding by binary pieces.
 
-Text is split into pieces block by block (one block is about block_bytes of consecutive rows of a partition),
-and the distinct pieces of a block travel as arrays of byte ids in one row. Spark then folds the ranked merges over
-each distinct piece, with the rank map as a literal of the plan: an array that holds, by a two-choice hash,
-pair key and merged rank. Nothing is shuffled; a lost executor costs only its own partitions again.
+Text is split into pieces in blocks of consecutive rows of a partition. The distinct pieces of a task travel as rows of
+row_words arrays of byte ids each, ahead of the block that first has them; a block's row holds its documents and the
+number of the piece at each place. Spark folds the ranked merges over each distinct piece, with the rank map as a
+literal of the plan, and the rows, still in order, are put together again. A task numbers its pieces anew after
+scope_words of them, which bounds memory. Nothing is shuffled; a lost executor costs only its own partitions again.
+
+The rank map is a row-displaced sparse matrix: rank of (a, b) at shift[a] + b, beside the owner a.
 
 Defined cases: null text counts as empty and gives no ids; repeated rows give repeated rows; an empty table gives an
 empty table; other columns of the input are not carried. Pieces over long_piece bytes (the fold is quadratic in the
@@ -22,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_parts, blocks_of
+from .common import binary_parts, blocks_of, map_batches
 from .wordsplit import Pieces
 
-NO_RANK = 2**31 - 1
+#: Bits of a byte's place in its piece, so the most that long_piece can be is 2 ** PLACE_BITS - 2.
+PLACE_BITS = 12
 
 
 @functools.cache
@@ -47,55 +51,69 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
 
 
 @functools.cache
-def rank_table(path: str) -> tuple[int, int, list[int]]:
-    """(slots, base, table): table[h] = key * base + rank, where key = first id * base + second id."""
+def rank_table(path: str) -> tuple[int, list[int], list[int]]:
+    """(bits, shift, table) over ids of so many bits: table[shift[a] + b] >> bits is a where a and b are a pair, the low bits its rank.
+
+    The first id after the last stands for no token; it has no pairs.
+    """
     ranks = read_ranks(path)
     base = max(ranks.values()) + 2
-    pairs = pair_ranks(ranks)
-    slots = 2 * len(pairs) + len(pairs) // 4 + 7
-    while True:
-        table, ok = [-1] * slots, True
-        for (a, b), rank in pairs.items():
-            item, place = (a * base + b) * base + rank, None
-            for _ in range(500):
-                h1, h2 = _slots_of(item // base, base, slots)
-                place = h2 if place == h1 else h1
-                table[place], item = item, table[place]
-                if item < 0:
+    bits, span = base.bit_length(), 1024
+    rows: dict[int, list[tuple[int, int]]] = {}
+    for (a, b), rank in pair_ranks(ranks).items():
+        rows.setdefault(a, []).append((b, rank))
+    nobody = (1 << bits) - 1
+    table, free, shift = np.full(base + span, nobody << bits, np.int64), np.ones(base + span, bool), np.zeros(base, np.int64)
+    end, at, size = 0, 0, 0
+    for a in sorted(rows, key=lambda a: (-len(rows[a]), a)):
+        cols = [b for b, _ in rows[a]]
+        if len(cols) != size:  # rows of one size go on where the one before found room
+            at, size = 0, len(cols)
+        while True:
+            if at + span + base > len(free):
+                table, free = np.concatenate([table, np.full(len(table), nobody << bits, np.int64)]), np.concatenate([free, np.ones(len(free), bool)])
+            fits = free[at + cols[0]: at + cols[0] + span].copy()
+            for k, c in enumerate(cols[1:]):
+                fits &= free[at + c: at + c + span]
+                if k % 8 == 7 and not fits.any():
                     break
-            else:
-                ok = False
+            if fits.any():
                 break
-        if ok:
-            return slots, base, table
-        slots = slots * 5 // 4 + 1
-
-
-def _slots_of(key: int, base: int, slots: int) -> tuple[int, int]:
-    return key % slots, (key // base * 7919 + key % base * 104729) % slots
+            at += span
+        shift[a] = at + int(fits.argmax())
+        free[shift[a] + cols], table[shift[a] + cols] = False, [a << bits | rank for _, rank in rows[a]]
+        end = max(end, int(shift[a]))
+    return bits, shift.tolist(), table[: end + base].tolist()
 
 
 def merge_expression(path: str, words: str) -> str:
-    """SQL that makes each array of byte ids in the array words an array of merged ids."""
-    slots, base, table = rank_table(path)
-    literal = "cast(split('" + ",".join(map(str, table)) + "', ',') as array<bigint>)"
+    """SQL that makes each array of byte ids in the array words an array of merged ids.
+
+    A token in the fold's state is one number: from the top, the rank of its pair with the next token (over all ranks
+    where they are no pair), the place of its first byte, its id. So the least number is the leftmost of the best pairs,
+    and all numbers of a state differ. A merge puts new numbers for the first of the pair and the token before it, and takes out the second.
+    """
+    bits, shift, table = rank_table(path)
+    nothing = len(shift) - 1
+    low, places, top = (1 << bits) - 1, ((1 << PLACE_BITS) - 1) << bits, bits + PLACE_BITS
+    literal = "cast(split('" + ",".join(map(str, [x + len(shift) for x in shift] + table)) + "', ',') as array<bigint>)"
 
     def look(x: str, y: str) -> str:
-        key = f"(cast({x} as bigint) * {base}L + {y})"
-        one, two = f"get(t, cast({key} % {slots} as int))", f"get(t, cast(({x} * 7919L + {y} * 104729L) % {slots} as int))"
-        return f"cast(if({one} div {base} = {key}, {one} % {base}, if({two} div {base} = {key}, {two} % {base}, {NO_RANK}L)) as int)"
-
-    # state: ids s, ranks r of neighbours, place p of the next merge (0: to be looked for, -1: none); turns look and merge
-    none, low = "cast(array() as array<int>)", "get(a.r, a.p - 1)"
-    ids = f"concat(slice(a.s, 1, a.p - 1), array({low}), slice(a.s, a.p + 2, size(a.s)))"
-    left = f"if(a.p > 1, array({look('get(a.s, a.p - 2)', low)}), {none})"
-    right = f"if(a.p < size(a.r), array({look(low, 'get(a.s, a.p + 1)')}), {none})"
-    ranks = f"concat(slice(a.r, 1, greatest(a.p - 2, 0)), {left}, {right}, slice(a.r, a.p + 2, size(a.r)))"
-    first = f"slice(zip_with(w, slice(w, 2, size(w)), (x, y) -> {look('x', 'y')}), 1, greatest(size(w) - 1, 0))"
-    found = f"if(coalesce(array_min(a.r), {NO_RANK}) = {NO_RANK}, -1, cast(array_position(a.r, array_min(a.r)) as int))"
-    step = f"if(a.p < 0, a, if(a.p = 0, named_struct('s', a.s, 'r', a.r, 'p', {found}), named_struct('s', {ids}, 'r', {ranks}, 'p', 0)))"
-    fold = f"aggregate(slice(concat(w, w), 2, 2 * size(w)), named_struct('s', w, 'r', {first}, 'p', 0), (a, i) -> {step}, a -> a.s)"
-    return f"transform(array({literal}), t -> transform({words}, w -> {fold}))[0]"
+        return f"(get(t, cast(get(t, cast({x} as int)) + {y} as int)) ^ shiftleft({x}, {bits}))"
+
+    def edge(place: int) -> str:
+        return f"{low << bits + top | place << bits | nothing}L"
+
+    one = f"shiftleft({look('cast(b as bigint)', f'coalesce(get(w, i + 1), {nothing})')}, {top}) | shiftleft(cast(i + 1 as bigint), {bits}) | b"
+    start = f"array_append(array_prepend(transform(w, (b, i) -> {one}), {edge(0)}), {edge((1 << PLACE_BITS) - 1)})"
+    before, second, after = "get(x, p - 2)", "get(x, p)", "get(x, p + 1)"
+    left = f"shiftleft({look(f'({before} & {low}L)', 'm')}, {top}) | ({before} & {places | low}L)"
+    merged = f"shiftleft({look('m', f'({after} & {low}L)')}, {top}) | (e & {places}L) | m"
+    both = f"array_remove(transform(x, v -> if(v = e, {merged}, if(v = {before}, {left}, v))), {second})"
+    placed = f"get(transform(array(cast(array_position(x, e) as int)), p -> {both}), 0)"
+    step = f"get(transform(array(array_min(x)), e -> if(e >= {1 << bits + top}L, x, get(transform(array(shiftright(e, {top})), m -> {placed}), 0))), 0)"
+    ids = f"array_remove(transform(x, e -> cast(e & {low}L as int)), {nothing})"
+    return f"transform(array({literal}), t -> transform({words}, w -> aggregate(w, {start}, (x, i) -> {step}, x -> {ids})))[0]"
 
 
 def heap_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -130,56 +148,84 @@ def heap_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-_BLOCK = "ids array<bigint>, counts array<int>, place array<int>, words array<array<int>>, long_at array<int>, long_ids array<array<int>>"
+_ROWS = "anew boolean, words array<array<int>>, long_at array<int>, long_ids array<array<int>>, ids array<bigint>, counts array<int>, place binary"
+
 
+def _split(path: str, long_piece: int, block_bytes: int, row_words: int, scope_words: int):
+    """Rows of the pieces that a task has not sent yet (anew: from here numbers start at 0), and of blocks of documents."""
+    if not 1 <= long_piece < (1 << PLACE_BITS) - 1:
+        raise ValueError(f"long_piece must lie in 1..{(1 << PLACE_BITS) - 2}")
+    schema = pa.schema([("anew", pa.bool_()), ("words", pa.list_(pa.list_(pa.int32()))), ("long_at", pa.list_(pa.int32())), ("long_ids", pa.list_(pa.list_(pa.int32()))),
+                        ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("place", pa.binary())])
 
-def _split(path: str, long_piece: int, block_bytes: int):
     def run(batches):
         ranks = read_ranks(path)
-        byte_ids = [ranks[bytes([i])] for i in range(256)]
-        lut = np.array(byte_ids, dtype=np.int32)
+        lut = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
+
+        def row(anew=False, words=(), ids=(), counts=(), place=b""):
+            longs = [k for k, w in enumerate(words) if len(w) > long_piece]
+            done = [heap_merge(words[k], ranks) for k in longs]
+            short = [b"" if len(w) > long_piece else w for w in words]
+            starts = np.cumsum([0, *map(len, short)]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(starts), pa.array(lut[np.frombuffer(b"".join(short), np.uint8)])), longs, done, ids, counts]
+            one = lambda a, t: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), pa.array(a, t.value_type) if not isinstance(a, pa.Array) else a)
+            return pa.RecordBatch.from_arrays([pa.array([anew]), *(one(a, f.type) for a, f in zip(lists, list(schema)[1:])), pa.array([place], pa.binary())], schema=schema)
+
+        known: dict[bytes, int] = {}
         for batch in batches:
             raw, off = binary_parts(batch.column(1))
-            ids = batch.column(0)
+            ids = batch.column(0).cast(pa.int64())
             for i, j in blocks_of(off, block_bytes):
-                known: dict[bytes, int] = {}
-                places, counts = [], []
-                part = off[i: j + 1]
-                for p, q in blocks_of(part, 4 << 20):
-                    pieces = Pieces(raw[part[p]: part[q]], part[p: q + 1] - part[p])
-                    to = np.fromiter((known.setdefault(w, len(known)) for w in pieces.distinct), np.int32, len(pieces.distinct))
-                    places.append(to[pieces.index])
-                    counts.append(np.diff(np.concatenate([pieces.doc_of_first, [len(pieces.starts)]])[: q - p + 1]))
-                words = list(known)
-                longs = [k for k, w in enumerate(words) if len(w) > long_piece]
-                done = [heap_merge(words[k], ranks) for k in longs]
-                for k in longs:
-                    words[k] = b""
-                flat = np.frombuffer(b"".join(words), np.uint8)
-                starts = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int32)
-                one = lambda a, t: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), pa.array(a, t) if not isinstance(a, pa.Array) else a)
-                cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([
-                    one(ids.slice(i, j - i).cast(pa.int64()), None), one(cat(counts).astype(np.int32), pa.int32()), one(cat(places).astype(np.int32), pa.int32()),
-                    one(pa.ListArray.from_arrays(pa.array(starts), pa.array(lut[flat])), None), one(longs, pa.int32()), one(pa.array(done, pa.list_(pa.int32())), None),
-                ], names=["ids", "counts", "place", "words", "long_at", "long_ids"])
+                anew = len(known) >= scope_words
+                if anew:
+                    known = {}
+                pieces, sent = Pieces(raw[off[i]: off[j]], off[i: j + 1] - off[i]), len(known)
+                to = np.array([known.get(w, -1) for w in pieces.distinct], np.int32)
+                new = np.flatnonzero(to < 0)
+                to[new] = np.arange(sent, sent + len(new))
+                fresh = [pieces.distinct[k] for k in new.tolist()]
+                known.update(zip(fresh, range(sent, sent + len(new))))
+                for k in range(0, max(len(fresh), 1 if anew else 0), row_words):
+                    yield row(anew and not k, fresh[k: k + row_words])
+                counts = np.diff(np.concatenate([pieces.doc_of_first, [len(pieces.starts)]])[: j - i + 1])
+                yield row(ids=ids.slice(i, j - i), counts=counts, place=to[pieces.index].astype("<i4").tobytes())
     return run
 
 
-def _flat(column, row: int) -> tuple[np.ndarray, np.ndarray]:
-    """(values, offsets) of the list of int lists in one row."""
-    inner = column.slice(row, 1).flatten()
-    off = inner.offsets.to_numpy() if len(inner) else np.zeros(1, np.int32)
-    return inner.flatten().to_numpy(zero_copy_only=False).astype(np.int64) if len(inner) else np.zeros(0, np.int64), off - off[0]
+class _Answers:
+    """Ids of the pieces of a task by their numbers, as rows of pieces bring them."""
+
+    def __init__(self):
+        self.values, self.ends, self.used, self.n = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0, 0
+
+    def add(self, words: pa.Array, long_at: list[int], long_ids: list[list[int]]) -> None:
+        off = words.offsets.to_numpy()
+        flat, sizes = words.flatten().to_numpy(zero_copy_only=False), np.diff(off)
+        if long_at:
+            sizes[long_at] = [len(x) for x in long_ids]
+            flat = np.insert(flat, np.repeat((off[:-1] - off[0])[long_at], sizes[long_at]), np.concatenate(long_ids))
+        while self.used + len(flat) > len(self.values):
+            self.values = np.concatenate([self.values, np.zeros_like(self.values)])
+        while self.n + len(sizes) >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.values[self.used: self.used + len(flat)] = flat
+        self.ends[self.n + 1: self.n + 1 + len(sizes)] = self.used + np.cumsum(sizes)
+        self.used, self.n = self.used + len(flat), self.n + len(sizes)
+
+    def of(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, end of the ids of each place)."""
+        starts, sizes = self.ends[place], self.ends[place + 1] - self.ends[place]
+        return self.values[_ranges(starts, sizes)].astype(np.int64), np.concatenate([[0], np.cumsum(sizes)])
 
 
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Concatenated ranges [start, start + length)."""
-    total = int(lengths.sum())
-    if not total:
-        return np.zeros(0, np.int64)
-    shift = np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
-    return shift + np.arange(total)
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if total < 1 << 31 and (not len(starts) or int(starts.max()) < (1 << 31) - total) else np.int64
+    out = np.repeat((starts - (ends - lengths)).astype(kind), lengths)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 def decode_bytes(ids: np.ndarray, vocabulary: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -201,23 +247,18 @@ def vocabulary_of(path: str) -> tuple[np.ndarray, np.ndarray]:
 def _finish(path: str, digests: bool, with_ids: bool = False):
     """Rows of documents from blocks: their ids, digests of ids and decoded bytes, or the ids and the latter digest."""
     def run(batches):
+        known = _Answers()
         for batch in batches:
             for r in range(batch.num_rows):
-                doc_ids = batch.column(0).slice(r, 1).flatten()
-                counts = batch.column(1).slice(r, 1).flatten().to_numpy(zero_copy_only=False)
-                place = batch.column(2).slice(r, 1).flatten().to_numpy(zero_copy_only=False)
-                values, off = _flat(batch.column(3), r)
-                long_at = batch.column(4).slice(r, 1).flatten().to_numpy(zero_copy_only=False)
-                starts, sizes = off[:-1].astype(np.int64), np.diff(off).astype(np.int64)
-                if len(long_at):
-                    more, more_off = _flat(batch.column(5), r)
-                    starts[long_at], sizes[long_at] = len(values) + more_off[:-1], np.diff(more_off)
-                    values = np.concatenate([values, more])
+                anew, words, long_at, long_ids, doc_ids, counts, place = (batch.column(k).slice(r, 1) for k in range(7))
+                if anew[0].as_py():
+                    known = _Answers()
+                if len(more := words.flatten()):
+                    known.add(more, long_at[0].as_py(), long_ids[0].as_py())
+                doc_ids, counts, place = doc_ids.flatten(), counts.flatten().to_numpy(), np.frombuffer(place[0].as_buffer(), "<i4")
                 ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-                for i, j in blocks_of(ends, 1 << 20):  # pieces at a time
-                    at = place[ends[i]: ends[j]]
-                    ids = values[_ranges(starts[at], sizes[at])]
-                    piece_end = np.concatenate([[0], np.cumsum(sizes[at])])
+                for i, j in blocks_of(ends, 1 << 18):  # pieces at a time
+                    ids, piece_end = known.of(place[ends[i]: ends[j]])
                     doc_end = piece_end[ends[i: j + 1] - ends[i]]
                     listed = None if digests else pa.ListArray.from_arrays(pa.array(doc_end, pa.int32()), pa.array(ids, pa.int32()))
                     if not digests and not with_ids:
@@ -239,20 +280,21 @@ def _finish(path: str, digests: bool, with_ids: bool = False):
     return run
 
 
-def encoded_blocks(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", long_piece: int = 256, block_bytes: int = 16 << 20) -> DataFrame:
-    """One row per block: document ids, pieces per document, the distinct piece at each place, ids of each distinct piece."""
-    split = docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(_split(path, long_piece, block_bytes), _BLOCK)
-    return split.selectExpr("ids", "counts", "place", f"{merge_expression(path, 'words')} words", "long_at", "long_ids")
+def encoded_blocks(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", long_piece: int = 256, block_bytes: int = 1 << 20,
+                   row_words: int = 1024, scope_words: int = 1 << 20) -> DataFrame:
+    """Rows of distinct pieces with their ids, and rows of document ids, pieces per document and the piece at each place; in order."""
+    split = map_batches(docs.select(F.col(id_col).cast("bigint"), F.col(text_col)), _split(path, long_piece, block_bytes, row_words, scope_words), _ROWS)
+    return split.selectExpr("anew", f"{merge_expression(path, 'words')} words", "long_at", "long_ids", "ids", "counts", "place")
 
 
 def encode(docs: DataFrame, path: str, **options) -> DataFrame:
     """(doc_id, ids array<int>) of every row."""
-    return encoded_blocks(docs, path, **options).mapInArrow(_finish(path, False), "doc_id bigint, ids array<int>")
+    return map_batches(encoded_blocks(docs, path, **options), _finish(path, False), "doc_id bigint, ids array<int>")
 
 
 def encode_and_decode(docs: DataFrame, path: str, **options) -> DataFrame:
     """(doc_id, ids, decoded_sha256): the ids and a digest of the bytes decoded from them, in the pass that encodes."""
-    return encoded_blocks(docs, path, **options).mapInArrow(_finish(path, False, True), "doc_id bigint, ids array<int>, decoded_sha256 string")
+    return map_batches(encoded_blocks(docs, path, **options), _finish(path, False, True), "doc_id bigint, ids array<int>, decoded_sha256 string")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -264,9 +306,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 ids = row.values.to_numpy(zero_copy_only=False).astype(np.int64) if row.is_valid else None
                 out.append(None if ids is None else decode_bytes(ids, vocabulary_of(path))[0].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "bytes"])
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, bytes binary")
+    return map_batches(encoded.select("doc_id", "ids"), run, "doc_id bigint, bytes binary")
 
 
 def round_trip(docs: DataFrame, path: str, **options) -> DataFrame:
     """Digests of the ids and of the bytes decoded from them, in the pass that encodes."""
-    return encoded_blocks(docs, path, **options).mapInArrow(_finish(path, True), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return map_batches(encoded_blocks(docs, path, **options), _finish(path, True), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -40,6 +41,49 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(name: str, *frames: DataFrame) -> str:
+    """name, with underscores put behind it until no column of the frames has it (case ignored)."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Bytes of rows that go to a Python worker at once, where the session does not say.
+BATCH_BYTES = 4 << 20
+
+
+def give_back() -> None:
+    """Gives memory that is free inside a Python worker back to the system: workers are kept for later tasks, and idle ones for later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) on batches bounded by bytes, not only by rows: texts are held several times over on their way.
+
+    The bound is a setting of the session, and is set where the session has none.
+    """
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark._jsparkSession.sessionState().conf().contains(key):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+    def freed(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(freed, schema)
+
+
+def plain_names(df: DataFrame, *keep: str) -> DataFrame:
+    """df with names that Arrow functions and grouping can take in place of all but keep; toDF(*df.columns) gives the names back."""
+    return df.toDF(*(c if c in keep else f"carried_{k}" for k, c in enumerate(df.columns)))
+
+
 def hash_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:
     """At most rows rows of df, those with the smallest hashes of key.
 

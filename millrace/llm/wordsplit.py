@@ -11,6 +11,7 @@ import functools
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
 _MASKS = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [2**64 - 1], dtype=np.uint64)
@@ -105,11 +106,14 @@ class Pieces:
             return
         pad = np.concatenate([buf, np.zeros(PACKED + 8, np.uint8)])
         view = np.ndarray((len(buf) + PACKED,), np.dtype("<u8"), pad.data, strides=(1,))
-        packed = [view[self.starts + 8 * k] & _MASKS[np.clip(self.lengths - 8 * k, 0, 8)] for k in range(_WORDS)]
         mixed = self.lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        for k, w in enumerate(packed):
-            mixed = (mixed ^ w) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
-            mixed ^= mixed >> np.uint64(31)
+        packed = []  # (pieces of over 8 k bytes, their bytes 8 k to 8 k + 7)
+        for k in range(_WORDS):
+            at = np.flatnonzero(self.lengths > 8 * k) if k else slice(None)
+            w = view[self.starts[at] + 8 * k] & _MASKS[np.minimum(self.lengths[at] - 8 * k, 8)]
+            m = (mixed[at] ^ w) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
+            mixed[at] = m ^ (m >> np.uint64(31))
+            packed.append((at, w))
         long = np.flatnonzero(self.lengths > PACKED)
         raw = buf.tobytes() if len(long) else b""
         longs: dict[bytes, int] = {}
@@ -120,12 +124,18 @@ class Pieces:
         short = np.ones(n, bool)
         short[long] = False
         mixed[short] &= np.uint64(2**63 - 1)
-        _, first, index = np.unique(mixed, return_index=True, return_inverse=True)
+        coded = pa.array(mixed).dictionary_encode()
+        index = coded.indices.to_numpy()
+        first = np.empty(len(coded.dictionary), np.int64)
+        first[index[::-1]] = np.arange(n - 1, -1, -1)
         rep = first[index]
-        bad = np.zeros(n, bool)
-        for w in packed:
-            bad |= w != w[rep]
-        bad |= self.lengths != self.lengths[rep]
+        bad = self.lengths != self.lengths[rep]
+        same = np.flatnonzero(~bad & (rep != np.arange(n)))
+        for k, (at, w) in enumerate(packed):
+            same = same[self.lengths[same] > 8 * k]
+            every = np.zeros(n, np.uint64)
+            every[at] = w
+            bad[same] |= every[same] != every[rep[same]]
         bad &= short
         at, size = self.starts[first], self.lengths[first]
         data = buf.tobytes()

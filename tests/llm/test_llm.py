@@ -64,6 +64,7 @@ def test_bpe_equals_the_library_and_round_trips(spark, docs, empty):
     encoded = bpe.encode(docs, RANKS)
     assert rows(encoded) == [(i, x) for i, x in want]
     assert rows(bpe.encode(docs, RANKS, long_piece=4, block_bytes=64)) == rows(encoded)
+    assert rows(bpe.encode(docs, RANKS, block_bytes=64, row_words=3, scope_words=7)) == rows(encoded)
     assert rows(bpe.decode(encoded, RANKS)) == sorted(((i, bytearray((t or "").encode())) for i, t in DOCS), key=repr)
     digest = {(r[0], r[1], r[2], r[3]) for r in bpe.round_trip(docs, RANKS).collect()}
     assert digest == {(i, len(x), hashlib.sha256(struct.pack(f"<{len(x)}I", *x)).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for (i, t), x in ((d, enc.encode_ordinary(d[1] or "")) for d in DOCS)}
@@ -460,3 +461,21 @@ def test_pipeline_decodes_its_ids(spark, docs):
     plain = {(r.doc_id, tuple(r.ids)) for r in bpe.encode(docs, RANKS).collect()}
     assert {(r.doc_id, tuple(r.ids)) for r in got.collect()} == plain
     assert rows(got.select("doc_id", "decoded_sha256")) == sorted(((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in DOCS), key=repr)
+
+
+def test_pipeline_carries_columns_of_any_name_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline as C
+
+    rng = random.Random(4)
+    texts = {i: " ".join(rng.choice("the of and house water going home".split()) + rng.choice("abcdefgh") for _ in range(70)) for i in range(12)}
+    names = ["__grp", "__kept_id", "__score", "grp_of_text", "digest_of_row", "kept_id", "predicted_lang", "predicted_score", "grp", "fp", "a.b"]
+    schema = "doc_id bigint, text string, lang string, " + ", ".join(f"`{n}` string" for n in names)
+    data = [(i, t, "en", *(f"{n}{i}" for n in names)) for i, t in [*texts.items(), (None, texts[0]), (3, texts[3]), (50, None)]]
+    spark.createDataFrame([(1, PASSAGE)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for rows_in in (data, []):
+        left = docs = spark.createDataFrame(rows_in, schema)
+        for name, stage in C.STAGES[:-1]:
+            left = C.written(stage(spark, left, str(tmp_path)), name)
+            assert left.columns == docs.columns
+        assert sorted((r.doc_id, r["__grp"], r["a.b"]) for r in left.collect()) == [(i, f"__grp{i}", f"a.b{i}") for i in (texts if rows_in else ())]
+        assert C.STAGES[-1][1](spark, left, str(tmp_path)).count() == (len(texts) if rows_in else 0)
