@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_batches, plain_names
+
 _KEEP = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
 _TABLE = bytes((c + 32 if 0x41 <= c <= 0x5A else c) if c in _KEEP or 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 _WORD = re.compile(rb"[^ ]+")
@@ -153,10 +155,17 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+#: Words of all items together that one call takes; automata of so many go to every executor (about 100 bytes a word).
+MAX_BENCHMARK_WORDS = 8_000_000
+
+
 def automata(benchmark: DataFrame, window: int, max_words: int = 2_000_000) -> list[SuffixAutomaton]:
-    """Automata of all items; the benchmark is the one table that the driver reads whole, item by item."""
+    """Automata of all items; the benchmark is the one table that the driver reads whole, item by item.
+
+    One of over MAX_BENCHMARK_WORDS words raises ValueError: call once for each part of it and merge the hits.
+    """
     groups: list[list] = [[]]
-    held = 0
+    held = total = 0
     for key, text in benchmark.select(F.col("item_id").cast("string"), "text").orderBy("item_id").toLocalIterator():
         ws = words_of((text or "").encode())
         if not ws:
@@ -166,6 +175,9 @@ def automata(benchmark: DataFrame, window: int, max_words: int = 2_000_000) -> l
             held = 0
         groups[-1].append((key, ws))
         held += len(ws)
+        total += len(ws)
+        if total > MAX_BENCHMARK_WORDS:
+            raise ValueError(f"the benchmark has over {MAX_BENCHMARK_WORDS} words")
     return [SuffixAutomaton(g, window) for g in groups if g]
 
 
@@ -202,7 +214,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), span]
                 yield pa.RecordBatch.from_arrays([part.column(0)] + [pa.array(list(c), t) for c, t in zip(cols, kinds)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_run", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, longest_run bigint, spans array<struct<start:int,end:int>>")
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, longest_run bigint, spans array<struct<start:int,end:int>>")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5) -> DataFrame:
@@ -237,4 +249,5 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_co
             kept = batch.filter(pa.array(keep, pa.bool_()))
             yield kept.set_column(place, batch.schema.names[place], pa.array(texts, batch.schema.types[place]))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = plain_names(docs, "text")
+    return map_batches(plain, run, plain.schema).toDF(*docs.columns)

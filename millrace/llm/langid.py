@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from .common import binary_parts, blocks_of, hash_sample
+from .common import binary_parts, blocks_of, hash_sample, map_batches, plain_names
 from .wordsplit import LETTER, Pieces, byte_classes
 
 TRAIN_DOCS = 600
@@ -176,12 +176,12 @@ def _cached_emissions(model: LanguageCRF, key: int, pieces: list[bytes]) -> np.n
     new = np.flatnonzero(at < 0)
     out = np.empty((len(pieces), len(model.labels)), np.float32)
     out[at >= 0] = rows[at[at >= 0]]
-    if len(new):
-        out[new] = fresh = model.emissions([pieces[i] for i in new])
-        room = min(len(new), _CACHE - len(known))
-        for r in range(room):
-            rows[len(known)] = fresh[r]
-            known[pieces[new[r]]] = len(known)
+    for part in np.split(new, range(1 << 13, len(new), 1 << 13)):  # features of many pieces take room
+        out[part] = fresh = model.emissions([pieces[i] for i in part])
+        held = len(known)
+        room = min(len(part), _CACHE - held)
+        rows[held: held + room] = fresh[:room]
+        known.update(zip((pieces[i] for i in part[:room].tolist()), range(held, held + room)))
     return out
 
 
@@ -228,6 +228,7 @@ def predict(docs: DataFrame, model: LanguageCRF, to: tuple[str, str] = ("lang_pr
     """
     more = [spans] if spans else []
     docs = docs.drop(*to, *more)
+    plain = plain_names(docs, "text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
 
@@ -239,15 +240,15 @@ def predict(docs: DataFrame, model: LanguageCRF, to: tuple[str, str] = ("lang_pr
         crf.key = key
         for batch in batches:
             raw, off = binary_parts(batch.column(place))
-            for i, j in blocks_of(off, 4 << 20):
+            for i, j in blocks_of(off, 1 << 20):
                 langs, scores, found = label_batch(crf, raw[off[i]: off[j]], off[i: j + 1] - off[i], key, spans=bool(more))
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *([found] if more else [])], names=[*batch.schema.names, *to, *more])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *([found] if more else [])], names=[*batch.schema.names, "lang_pred", "score", *(["spans"] if more else [])])
 
-    schema = StructType(list(docs.schema.fields)).add(to[0], "string").add(to[1], "double")
+    schema = StructType(list(plain.schema.fields)).add("lang_pred", "string").add("score", "double")
     if more:
-        schema = schema.add(spans, SPANS)
-    return docs.mapInArrow(run, schema)
+        schema = schema.add("spans", SPANS)
+    return map_batches(plain, run, schema).toDF(*docs.columns, *to, *more)
 
 
 def held_out(id_col: str = "doc_id"):

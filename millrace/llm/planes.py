@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import binary_parts, blocks_of, fresh_path
+from .common import binary_parts, blocks_of, fresh_path, map_batches
 from .wordsplit import Pieces
 
 MAGIC = b"MRBP"
@@ -95,7 +95,7 @@ def _encode(path: str, end_id: int, bounds: np.ndarray, width: int):
         kind = np.uint16 if width == 2 else np.uint32
         for batch in batches:
             raw, off = binary_parts(batch.column(1))
-            for i, j in blocks_of(off, 4 << 20):
+            for i, j in blocks_of(off, 1 << 20):
                 ids, sizes = encode_texts(raw[off[i]: off[j]], off[i: j + 1] - off[i], path, specials)
                 cuts = np.concatenate([[0], np.cumsum(sizes)])
                 keys = batch.column(0).slice(i, j - i)
@@ -195,7 +195,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, width: in
         ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     cuts = docs.selectExpr("cast(doc_id as bigint) doc_id").agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [0.5], 10000)).first()[0]
     bounds = np.unique(np.array(cuts or [], np.int64))
-    ids = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_encode(tokenizer, end_id, bounds, width), "range int, doc_id bigint, crc bigint, n_tokens bigint, blob binary")
+    ids = map_batches(docs.select(F.col("doc_id").cast("bigint"), "text"), _encode(tokenizer, end_id, bounds, width), "range int, doc_id bigint, crc bigint, n_tokens bigint, blob binary")
     ordered = ids.repartition(ranges, "range").sortWithinPartitions("range", "doc_id", "crc", "n_tokens").select("range", "doc_id", "n_tokens", "blob")
     ordered.mapInArrow(_write(chunk_ids, file_ids, width), _FILES).write.option("compression", "none").option("parquet.block.size", 32 << 20).parquet(path)
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_parts, connected_components, written
+from .common import binary_parts, connected_components, free_name, map_batches, written
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 #: Spreads the 8 bits of a byte over the 8 bytes of a word, so that sums of up to 255 words count bits.
@@ -83,7 +83,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, carry: tuple[str, ...] = ())
                 fp = ((2 * counts > np.diff(starts)[:, None]) * _WEIGHTS).sum(axis=1, dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(fp.view(np.int64)), *(batch.column(c).slice(i, j - i) for c in carry)], names=["doc_id", "fp", *carry])
 
-    return kept.mapInArrow(run, ", ".join(["doc_id bigint", "fp bigint", *(f"{c} {kept.schema[c].dataType.simpleString()}" for c in carry)]))
+    return map_batches(kept, run, ", ".join(["doc_id bigint", "fp bigint", *(f"{c} {kept.schema[c].dataType.simpleString()}" for c in carry)]))
 
 
 def bit_pairs(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -282,12 +282,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> Dat
 
 def survivors(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """One row of docs for each component: the smallest doc_id, nulls last, then by digests of the text and of the row."""
-    marks = {"__text": F.md5(F.col("text").cast("binary")), "__row": F.xxhash64(*docs.columns)}
+    names = [free_name(x, docs) for x in ("digest_of_text", "digest_of_row", "kept_id", "kept_text", "kept_row")]
+    marks = {names[0]: F.md5(F.col("text").cast("binary")), names[1]: F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))}
     each = written(fingerprints(docs.withColumns(marks), shingle, tuple(marks)), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *marks)
     first = each.join(_labels(each, max_bits).select("fp", "root_fp"), "fp").groupBy("root_fp").agg(F.min(order).alias("k"))
-    kept = written(first.select(F.col("k.doc_id").alias("__kept_id"), *(F.col(f"k.{m}").alias(f"{m}_kept") for m in marks)), "survivors")
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__kept_id"))
-    for m in marks:
-        same = same & F.col(m).eqNullSafe(F.col(f"{m}_kept"))
-    return docs.withColumns(marks).join(kept, same, "left_semi").dropDuplicates(["doc_id", *marks]).select(*docs.columns)
+    kept = written(first.select(*(F.col(f"k.{a}").alias(b) for a, b in zip(("doc_id", *marks), names[2:]))), "survivors")
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(names[2]))
+    for a, b in zip(marks, names[3:]):
+        same = same & F.col(a).eqNullSafe(F.col(b))
+    return docs.withColumns(marks).join(kept, same, "left_semi").dropDuplicates(["doc_id", *marks]).drop(*marks)

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_parts, blocks_of
+from .common import binary_parts, blocks_of, give_back, map_batches, plain_names
 
 GRAM = 16
 _NULL_ID = -(2**63)
@@ -391,7 +391,7 @@ def _judge(length: int, batch_bytes: int = 1 << 18):
     """The smallest docs of all windows, back to the groups in the order in which each sent its texts."""
     def run(key, table):
         least: dict[bytes, int] = {}
-        by_gram: dict[int, dict[bytes, None]] = {}  # a text can come as a run of its gram and as a window of its own key
+        by_gram: dict[int, bytes | dict[bytes, None]] = {}  # one text or several; a text can come as a run of its gram and as a window of its own key
         sent = []
         for grp, n, blob in zip(*(table.column(c).to_pylist() for c in ("grp", "n", "blob"))):
             keys, docs, sizes, raw = _unpack(blob, n, np.uint64, np.int64, np.int32)
@@ -399,12 +399,18 @@ def _judge(length: int, batch_bytes: int = 1 << 18):
             data, ends = raw.tobytes(), np.cumsum(sizes).tolist()
             texts = [data[b - s: b] for s, b in zip(sizes.tolist(), ends)]
             for t, g, d in zip(texts, keys.tolist(), docs.tolist()):
-                by_gram.setdefault(g, {})[t] = None
+                there = by_gram.get(g)
+                if there is None:
+                    by_gram[g] = t
+                elif type(there) is dict:
+                    there[t] = None
+                elif there != t:
+                    by_gram[g] = {there: None, t: None}
                 known = least.get(t)
                 if known is None or d < known:
                     least[t] = d
             sent.append((grp, texts))
-        answer: dict[bytes, np.ndarray] = {}
+        answer: dict[bytes, np.ndarray | int] = {}  # one number where it holds for all windows
         pool: list[bytes] = []
         held = 0
 
@@ -417,10 +423,11 @@ def _judge(length: int, batch_bytes: int = 1 << 18):
                     told(t, docs)
 
         for texts in by_gram.values():
-            only = next(iter(texts))
-            if len(texts) == 1 and len(only) < 2 * length:
-                told(only, np.full(len(only) - length + 1, least[only]))
-                continue
+            if type(texts) is bytes:
+                if len(texts) < 2 * length:
+                    told(texts, least[texts])
+                    continue
+                texts = (texts,)
             pool += texts
             held += sum(map(len, texts))
             if held > batch_bytes:
@@ -430,7 +437,12 @@ def _judge(length: int, batch_bytes: int = 1 << 18):
         rows = []
         bucket = key[0].as_py()
         for grp, texts in sent:
-            docs = np.concatenate([answer[t] for t in texts])
+            size = np.fromiter(map(len, texts), np.int64, len(texts)) - length + 1
+            said = [answer[t] for t in texts]
+            docs = np.repeat(np.array([0 if isinstance(x, np.ndarray) else x for x in said], np.int64), size)
+            for x, end in zip(said, np.cumsum(size).tolist()):
+                if isinstance(x, np.ndarray):
+                    docs[end - len(x): end] = x
             head = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))  # runs of one document
             rows.append((grp, len(head), _pack(docs[head], np.diff(np.append(head, len(docs))).astype(np.int32)), bucket))
         return pa.Table.from_batches([_rows(rows, _JUDGED)])
@@ -440,25 +452,33 @@ def _judge(length: int, batch_bytes: int = 1 << 18):
 def removed_masks(left: pa.Table, told: pa.Table, judged: pa.Table, length: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, offsets, mask of removed bytes) of the texts of one group."""
     raw, off, ids, found, blocks = _contents(left, told, length)
-    answer: dict[bytes, np.ndarray] = {}
+    answer: dict[bytes, np.ndarray | int] = {}  # a number for a text of one window
     said = {b: _unpack(blob, n, np.int64, np.int32)[:2] for b, n, blob in zip(judged.column("bucket").to_pylist(), judged.column("n").to_pylist(), judged.column("blob").to_pylist())}
     for b, texts, _, _ in _dealt(found, *_shared_of(told), length, buckets):
         docs, at = np.repeat(*said[b]), 0
+        each = docs.tolist()
         for t in texts:
-            v = docs[at: at + len(t) - length + 1]
-            at += len(v)
-            answer[t] = np.minimum(answer[t], v) if t in answer else v
+            n = len(t) - length + 1
+            v = each[at] if n == 1 else docs[at: at + n]
+            at += n
+            if t in answer:
+                v = min(answer[t], v) if n == 1 else np.minimum(answer[t], v)
+            answer[t] = v
+    final: dict[bytes, np.ndarray] = {}
+
+    def value(t, how):
+        v = None if how == BY_WINDOW else np.atleast_1d(answer[t])
+        if how != ONE_WAY:  # its windows came one by one
+            w = np.fromiter((answer[t[s: s + length]] for s in range(len(t) - length + 1)), np.int64, len(t) - length + 1)
+            v = w if v is None else np.minimum(v, w)
+        final[t] = v
+        return v
+
     mask = np.zeros(len(raw), bool)
     for i, j, buf, part, first, size, doc, texts, way in blocks:
         if not len(first):
             continue
-        values = []
-        for t, how in zip(texts, way):
-            v = None if how == BY_WINDOW else answer[t]
-            if how != ONE_WAY:  # its windows came one by one
-                w = np.concatenate([answer[t[s: s + length]] for s in range(len(t) - length + 1)])
-                v = w if v is None else np.minimum(v, w)
-            values.append(v)
+        values = [final[t] if t in final else value(t, how) for t, how in zip(texts, way)]  # the gram of a text decides its way
         where = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
         hit = where[np.concatenate(values) < np.repeat(ids[i:j][doc], size)]
         delta = np.bincount(hit, minlength=len(buf) + 1) - np.bincount(hit + length, minlength=len(buf) + 1)
@@ -466,6 +486,17 @@ def removed_masks(left: pa.Table, told: pa.Table, judged: pa.Table, length: int,
     return raw, off, mask
 
 
+def _freed(run):
+    """run for applyInArrow, giving memory back after each group."""
+    def one(*args):
+        try:
+            return run(*args)
+        finally:
+            give_back()
+
+    return (lambda key, table: one(key, table)) if run.__code__.co_argcount == 2 else (lambda key, left, right: one(key, left, right))
+
+
 def _remove(length: int, buckets: int, finish):
     def run(key, left, right):
         kind = right.column("kind").to_numpy()
@@ -492,7 +523,7 @@ def _cut_table(left, raw, off, mask) -> pa.Table:
         if m.any():
             values[k] = raw[off[k]: off[k + 1]][~m].tobytes().decode("utf-8", "ignore")
     at = left.schema.get_field_index("text")
-    return left.set_column(at, "text", pa.array(values, pa.string())).drop_columns(["__grp"])
+    return left.set_column(at, "text", pa.array(values, pa.string()))
 
 
 def _run(docs: DataFrame, length: int, hot_docs: int, group_bytes: int, finish, schema) -> DataFrame:
@@ -501,16 +532,15 @@ def _run(docs: DataFrame, length: int, hot_docs: int, group_bytes: int, finish,
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // group_bytes), 1)
-    if "__grp" in docs.columns:
-        raise ValueError("the column name __grp is taken")
-    text = docs.withColumn("__grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
-    grouped = text.repartition(n, "__grp")
-    asked = text.select(F.col("doc_id").cast("bigint"), "__grp", "text").mapInArrow(_ask(length, n), _ASK_SQL)
-    told = asked.groupBy("bucket").applyInArrow(_tell(hot_docs), _TOLD_SQL).repartition(n, "grp")
-    sent = grouped.groupBy("__grp").cogroup(told.groupBy("grp")).applyInArrow(_gather(length, n), _SENT_SQL)
-    judged = sent.groupBy("bucket").applyInArrow(_judge(length), _JUDGED_SQL)
+    group = "group_of_text"
+    text = docs.withColumn(group, F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    grouped = text.repartition(n, group)
+    asked = map_batches(text.select(F.col("doc_id").cast("bigint"), group, "text"), _ask(length, n), _ASK_SQL)
+    told = asked.groupBy("bucket").applyInArrow(_freed(_tell(hot_docs)), _TOLD_SQL).repartition(n, "grp")
+    sent = grouped.groupBy(group).cogroup(told.groupBy("grp")).applyInArrow(_freed(_gather(length, n)), _SENT_SQL)
+    judged = sent.groupBy("bucket").applyInArrow(_freed(_judge(length)), _JUDGED_SQL)
     back = told.withColumn("bucket", F.lit(0)).withColumn("kind", F.lit(0)).union(judged.withColumn("kind", F.lit(1)))
-    return grouped.groupBy("__grp").cogroup(back.groupBy("grp")).applyInArrow(_remove(length, n, finish), schema)
+    return grouped.groupBy(group).cogroup(back.groupBy("grp")).applyInArrow(_freed(_remove(length, n, lambda left, *parts: finish(left.drop_columns([group]), *parts))), schema)
 
 
 def spans(docs: DataFrame, length: int = 50, hot_docs: int = 1000, group_bytes: int = 16 << 20) -> DataFrame:
@@ -520,4 +550,5 @@ def spans(docs: DataFrame, length: int = 50, hot_docs: int = 1000, group_bytes:
 
 def remove_text(docs: DataFrame, length: int = 50, hot_docs: int = 1000, group_bytes: int = 16 << 20) -> DataFrame:
     """docs with the removed bytes cut from text; bytes of a character cut in two go as well."""
-    return _run(docs, length, hot_docs, group_bytes, _cut_table, docs.schema)
+    plain = plain_names(docs, "doc_id", "text")
+    return _run(plain, length, hot_docs, group_bytes, _cut_table, plain.schema).toDF(*docs.columns)

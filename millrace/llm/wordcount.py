@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import read_ranks
-from .common import binary_parts, blocks_of
+from .common import binary_parts, blocks_of, map_batches
 from .wordsplit import Pieces
 
 _CACHE = 1 << 19
@@ -108,4 +108,4 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 cuts = np.concatenate([pieces.doc_of_first[: j - i], [len(pieces.starts)]])
                 sums = np.concatenate([[0], np.cumsum(sizes[pieces.index])]) if len(pieces.index) else np.zeros(1, np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(cuts), pa.int64()), pa.array(np.diff(sums[cuts]), pa.int64())], names=["doc_id", "n_words", "n_tokens"])
-    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(run, "doc_id bigint, n_words bigint, n_tokens bigint")
+    return map_batches(docs.select(F.col(id_col).cast("bigint"), F.col(text_col)), run, "doc_id bigint, n_words bigint, n_tokens bigint")
