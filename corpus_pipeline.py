@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 stage's docs. All but the last keep the columns of documents; n_chars follows text where a stage changes it.
+
+Defined cases: null and letterless texts go in the first stage; rows with null or shared doc_ids are rows of their own, of
+which near copies go; exact repeats keep one row; an empty table gives an empty table; columns beyond doc_id, text and
+lang are carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, decontam, langid, simhash, suffixdedup
-from millrace.llm.common import written
+from millrace.llm.common import free_name, written
 from millrace.llm.queries import tokenizer_file
 
 #: A document goes if its language is undetermined or its mean posterior is under this.
@@ -20,8 +24,9 @@ MIN_SCORE = 0.4
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language the word-level field decides; those without letters, or undecided, go."""
     model = langid.fit(docs.where(~langid.held_out()))
-    labelled = langid.predict(docs, model, ("__lang_pred", "__score"))
-    return labelled.where((F.col("__lang_pred") != langid.UNKNOWN) & (F.col("__score") >= MIN_SCORE)).drop("__lang_pred", "__score")
+    names = free_name("predicted_lang", docs), free_name("predicted_score", docs)
+    labelled = langid.predict(docs, model, names)
+    return labelled.where((F.col(names[0]) != langid.UNKNOWN) & (F.col(names[1]) >= MIN_SCORE)).drop(*names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +50,8 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _renumbered(docs: DataFrame) -> DataFrame:
-    kind = docs.schema["n_chars"].dataType
-    return docs.where(F.col("text").rlike(r"[\p{L}\p{N}]")).withColumn("n_chars", F.char_length("text").cast(kind))
+    kept = docs.where(F.col("text").rlike(r"[\p{L}\p{N}]"))
+    return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
 STAGES = [
