@@ -6,7 +6,8 @@ number of the piece at each place. Spark folds the ranked merges over each disti
 literal of the plan, and the rows, still in order, are put together again. A task numbers its pieces anew after
 scope_words of them, which bounds memory. Nothing is shuffled; a lost executor costs only its own partitions again.
 
-The rank map is a row-displaced sparse matrix: rank of (a, b) at shift[a] + b, beside the owner a.
+The rank map is a row-displaced sparse matrix: rank of (a, b) at shift[a] + b, beside the owner a. Inside the fold ids and
+ranks count from 1, so that an empty place is 0 for every owner; zeros are one shared object wherever the plan is read.
 
 Defined cases: null text counts as empty and gives no ids; repeated rows give repeated rows; an empty table gives an
 empty table; other columns of the input are not carried. Pieces over long_piece bytes (the fold is quadratic in the
@@ -52,18 +53,17 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
 
 @functools.cache
 def rank_table(path: str) -> tuple[int, list[int], list[int]]:
-    """(bits, shift, table) over ids of so many bits: table[shift[a] + b] >> bits is a where a and b are a pair, the low bits its rank.
+    """(bits, shift, table) over numbers (id + 1) of so many bits: table[shift[a] + b] >> bits is a where a and b are a pair, the low bits its rank + 1.
 
-    The first id after the last stands for no token; it has no pairs.
+    The first number after the last stands for no token; it has no pairs.
     """
     ranks = read_ranks(path)
-    base = max(ranks.values()) + 2
+    base = max(ranks.values()) + 3
     bits, span = base.bit_length(), 1024
     rows: dict[int, list[tuple[int, int]]] = {}
     for (a, b), rank in pair_ranks(ranks).items():
-        rows.setdefault(a, []).append((b, rank))
-    nobody = (1 << bits) - 1
-    table, free, shift = np.full(base + span, nobody << bits, np.int64), np.ones(base + span, bool), np.zeros(base, np.int64)
+        rows.setdefault(a + 1, []).append((b + 1, rank + 1))
+    table, free, shift = np.zeros(base + span, np.int64), np.ones(base + span, bool), np.zeros(base, np.int64)
     end, at, size = 0, 0, 0
     for a in sorted(rows, key=lambda a: (-len(rows[a]), a)):
         cols = [b for b, _ in rows[a]]
@@ -71,7 +71,7 @@ def rank_table(path: str) -> tuple[int, list[int], list[int]]:
             at, size = 0, len(cols)
         while True:
             if at + span + base > len(free):
-                table, free = np.concatenate([table, np.full(len(table), nobody << bits, np.int64)]), np.concatenate([free, np.ones(len(free), bool)])
+                table, free = np.concatenate([table, np.zeros_like(table)]), np.concatenate([free, np.ones_like(free)])
             fits = free[at + cols[0]: at + cols[0] + span].copy()
             for k, c in enumerate(cols[1:]):
                 fits &= free[at + c: at + c + span]
@@ -87,7 +87,7 @@ def rank_table(path: str) -> tuple[int, list[int], list[int]]:
 
 
 def merge_expression(path: str, words: str) -> str:
-    """SQL that makes each array of byte ids in the array words an array of merged ids.
+    """SQL that makes each array of byte ids, counted from 1, in the array words an array of merged ids, counted from 0.
 
     A token in the fold's state is one number: from the top, the rank of its pair with the next token (over all ranks
     where they are no pair), the place of its first byte, its id. So the least number is the leftmost of the best pairs,
@@ -96,10 +96,10 @@ def merge_expression(path: str, words: str) -> str:
     bits, shift, table = rank_table(path)
     nothing = len(shift) - 1
     low, places, top = (1 << bits) - 1, ((1 << PLACE_BITS) - 1) << bits, bits + PLACE_BITS
-    literal = "cast(split('" + ",".join(map(str, [x + len(shift) for x in shift] + table)) + "', ',') as array<bigint>)"
+    literal = "cast(split('" + ",".join(map(str, shift + table)) + "', ',') as array<bigint>)"
 
     def look(x: str, y: str) -> str:
-        return f"(get(t, cast(get(t, cast({x} as int)) + {y} as int)) ^ shiftleft({x}, {bits}))"
+        return f"(get(t, cast(get(t, cast({x} as int)) + {y} + {len(shift)} as int)) ^ shiftleft({x}, {bits}))"
 
     def edge(place: int) -> str:
         return f"{low << bits + top | place << bits | nothing}L"
@@ -112,7 +112,7 @@ def merge_expression(path: str, words: str) -> str:
     both = f"array_remove(transform(x, v -> if(v = e, {merged}, if(v = {before}, {left}, v))), {second})"
     placed = f"get(transform(array(cast(array_position(x, e) as int)), p -> {both}), 0)"
     step = f"get(transform(array(array_min(x)), e -> if(e >= {1 << bits + top}L, x, get(transform(array(shiftright(e, {top})), m -> {placed}), 0))), 0)"
-    ids = f"array_remove(transform(x, e -> cast(e & {low}L as int)), {nothing})"
+    ids = f"array_remove(transform(x, e -> cast((e & {low}L) - 1 as int)), {nothing - 1})"
     return f"transform(array({literal}), t -> transform({words}, w -> aggregate(w, {start}, (x, i) -> {step}, x -> {ids})))[0]"
 
 
@@ -160,7 +160,7 @@ def _split(path: str, long_piece: int, block_bytes: int, row_words: int, scope_w
 
     def run(batches):
         ranks = read_ranks(path)
-        lut = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
+        lut = np.array([ranks[bytes([i])] + 1 for i in range(256)], dtype=np.int32)
 
         def row(anew=False, words=(), ids=(), counts=(), place=b""):
             longs = [k for k, w in enumerate(words) if len(w) > long_piece]
@@ -280,7 +280,7 @@ def _finish(path: str, digests: bool, with_ids: bool = False):
     return run
 
 
-def encoded_blocks(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", long_piece: int = 256, block_bytes: int = 1 << 20,
+def encoded_blocks(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", long_piece: int = 256, block_bytes: int = 1 << 19,
                    row_words: int = 1024, scope_words: int = 1 << 20) -> DataFrame:
     """Rows of distinct pieces with their ids, and rows of document ids, pieces per document and the piece at each place; in order."""
     split = map_batches(docs.select(F.col(id_col).cast("bigint"), F.col(text_col)), _split(path, long_piece, block_bytes, row_words, scope_words), _ROWS)
