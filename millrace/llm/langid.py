@@ -32,7 +32,7 @@ TRAIN_DOCS = 600
 UNKNOWN = "und"
 SPANS = ArrayType(StructType().add("start", "integer").add("end", "integer").add("lang", "string").add("words", "integer"))
 _BITS = 17
-_CACHE = 1 << 18
+_CACHE = 1 << 17
 
 
 def letter_words(raw: np.ndarray, off: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:

@@ -70,6 +70,12 @@ def window_grams(buf: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndar
     return starts, low[starts] >> np.uint64(16)
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Concatenated ranges [start, start + size)."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def _text_blocks(raw: np.ndarray, off: np.ndarray, limit: int = 1 << 21):
     for i, j in blocks_of(off, limit):
         yield i, j, raw[off[i]: off[j]], off[i: j + 1] - off[i]
@@ -227,37 +233,38 @@ def _runs(buf: np.ndarray, off: np.ndarray, length: int, shared: np.ndarray):
     return first, size[ok], g[ok], np.searchsorted(off, first, side="right") - 1
 
 
-def _contents(table: pa.Table, told: pa.Table, length: int):
-    """Of one group: its texts, its runs in blocks, and the distinct contents with the smallest doc_id."""
-    raw, off = binary_parts(table.column("text"))
-    ids = _ids(table.column("doc_id").combine_chunks())
-    shared, ways = _shared_of(told)
-    found: dict[bytes, list] = {}
-    blocks = []
-    for i, j, buf, part in _text_blocks(raw, off):
-        first, size, gram, doc = _runs(buf, part, length, shared)
-        data = buf.tobytes()
-        texts = [data[a: a + s + length - 1] for a, s in zip(first.tolist(), size.tolist())]
-        for t, g, d in zip(texts, gram.tolist(), ids[i:j][doc].tolist()):
-            e = found.get(t)
-            if e is None:
-                found[t] = [g, d]
-            elif d < e[1]:
-                e[1] = d
-        blocks.append((i, j, buf, part, first, size, doc, texts, ways[np.searchsorted(shared, gram)].tolist() if len(gram) else []))
-    return raw, off, ids, found, blocks
+class _Contents:
+    """Of one group: its texts, its runs in blocks, and the distinct contents of runs with gram, way and smallest doc_id."""
+
+    def __init__(self, table: pa.Table, told: pa.Table, length: int):
+        self.raw, self.off = binary_parts(table.column("text"))
+        self.ids = _ids(table.column("doc_id").combine_chunks())
+        shared, ways = _shared_of(told)
+        self.names: dict[bytes, int] = {}
+        self.blocks, grams, docs = [], [], []
+        for i, j, buf, part in _text_blocks(self.raw, self.off):
+            first, size, gram, doc = _runs(buf, part, length, shared)
+            data, names = buf.tobytes(), self.names
+            which = np.fromiter((names.setdefault(data[a: b], len(names)) for a, b in zip(first.tolist(), (first + size + length - 1).tolist())), np.int32, len(first))
+            self.blocks.append((i, j, len(buf), first, size, doc, which))
+            grams.append(gram)
+            docs.append(self.ids[i:j][doc])
+        self.gram, self.doc = np.zeros(len(self.names), np.uint64), np.full(len(self.names), np.iinfo(np.int64).max)
+        for block, gram, doc in zip(self.blocks, grams, docs):
+            self.gram[block[-1]] = gram
+            np.minimum.at(self.doc, block[-1], doc)
+        self.way = ways[np.searchsorted(shared, self.gram)] if len(self.gram) else np.zeros(0, np.uint8)
 
 
 _SENT = pa.schema([("bucket", pa.int32()), ("grp", pa.int32()), ("n", pa.int32()), ("blob", pa.binary())])
 _SENT_SQL = "bucket int, grp int, n int, blob binary"
 
 
-def _dealt(found: dict[bytes, list], shared: np.ndarray, ways: np.ndarray, length: int, buckets: int):
-    """(bucket, texts, smallest docs) of what a group sends, in an order that only its contents decide."""
-    names = sorted(found)
-    grams = np.array([found[t][0] for t in names], np.uint64)
-    docs = np.array([found[t][1] for t in names], np.int64)
-    way = ways[np.searchsorted(shared, grams)] if len(grams) else np.zeros(0, np.uint8)
+def _dealt(found: _Contents, length: int, buckets: int):
+    """(bucket, texts, smallest docs, keys) of what a group sends, in an order that only its contents decide."""
+    names = sorted(found.names)
+    at = np.fromiter(map(found.names.__getitem__, names), np.int64, len(names))
+    grams, docs, way = found.gram[at], found.doc[at], found.way[at]
     windows: dict[bytes, int] = {}
     for k in np.flatnonzero(way != ONE_WAY).tolist():
         t, d = names[k], int(docs[k])
@@ -277,9 +284,8 @@ def _dealt(found: dict[bytes, list], shared: np.ndarray, ways: np.ndarray, lengt
 def _gather(length: int, buckets: int):
     def run(key, left, right):
         grp = key[0].as_py()
-        found = _contents(left, right, length)[3]
         rows = []
-        for b, texts, docs, keys in _dealt(found, *_shared_of(right), length, buckets):
+        for b, texts, docs, keys in _dealt(_Contents(left, right, length), length, buckets):
             rows.append((b, grp, len(texts), _pack(_steps(keys), docs, np.fromiter(map(len, texts), np.int32, len(texts)), np.frombuffer(b"".join(texts), np.uint8), level=3)))
         return pa.Table.from_batches([_rows(rows, _SENT)])
     return run
@@ -451,11 +457,11 @@ def _judge(length: int, batch_bytes: int = 1 << 18):
 
 def removed_masks(left: pa.Table, told: pa.Table, judged: pa.Table, length: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, offsets, mask of removed bytes) of the texts of one group."""
-    raw, off, ids, found, blocks = _contents(left, told, length)
+    found = _Contents(left, told, length)
     answer: dict[bytes, np.ndarray | int] = {}  # a number for a text of one window
     said = {b: _unpack(blob, n, np.int64, np.int32)[:2] for b, n, blob in zip(judged.column("bucket").to_pylist(), judged.column("n").to_pylist(), judged.column("blob").to_pylist())}
-    for b, texts, _, _ in _dealt(found, *_shared_of(told), length, buckets):
-        docs, at = np.repeat(*said[b]), 0
+    for b, texts, _, _ in _dealt(found, length, buckets):
+        docs, at = np.repeat(*said.pop(b)), 0
         each = docs.tolist()
         for t in texts:
             n = len(t) - length + 1
@@ -464,26 +470,25 @@ def removed_masks(left: pa.Table, told: pa.Table, judged: pa.Table, length: int,
             if t in answer:
                 v = min(answer[t], v) if n == 1 else np.minimum(answer[t], v)
             answer[t] = v
-    final: dict[bytes, np.ndarray] = {}
-
-    def value(t, how):
+    values = []
+    for t, how in zip(found.names, found.way.tolist()):
         v = None if how == BY_WINDOW else np.atleast_1d(answer[t])
         if how != ONE_WAY:  # its windows came one by one
             w = np.fromiter((answer[t[s: s + length]] for s in range(len(t) - length + 1)), np.int64, len(t) - length + 1)
             v = w if v is None else np.minimum(v, w)
-        final[t] = v
-        return v
-
-    mask = np.zeros(len(raw), bool)
-    for i, j, buf, part, first, size, doc, texts, way in blocks:
+        values.append(v)
+    ends = np.cumsum([0, *map(len, values)])
+    values = np.concatenate(values) if values else np.zeros(0, np.int64)
+    del answer
+    mask = np.zeros(len(found.raw), bool)
+    for i, j, n, first, size, doc, which in found.blocks:
         if not len(first):
             continue
-        values = [final[t] if t in final else value(t, how) for t, how in zip(texts, way)]  # the gram of a text decides its way
-        where = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
-        hit = where[np.concatenate(values) < np.repeat(ids[i:j][doc], size)]
-        delta = np.bincount(hit, minlength=len(buf) + 1) - np.bincount(hit + length, minlength=len(buf) + 1)
-        mask[off[i]: off[j]] = np.cumsum(delta[:-1]) > 0
-    return raw, off, mask
+        where = _ranges(first, size)
+        hit = where[values[_ranges(ends[which], size)] < np.repeat(found.ids[i:j][doc], size)]
+        delta = np.bincount(hit, minlength=n + 1) - np.bincount(hit + length, minlength=n + 1)
+        mask[found.off[i]: found.off[j]] = np.cumsum(delta[:-1]) > 0
+    return found.raw, found.off, mask
 
 
 def _freed(run):
