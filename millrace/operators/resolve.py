@@ -66,13 +66,17 @@ def bag_lookup(bag: Column, aliases: list[str]) -> Column:
     return F.coalesce(*[F.try_element_at(norm, F.lit("".join(ch for ch in a.lower() if ch.isalnum()))) for a in aliases])
 
 
-def dictionary_matches(df: DataFrame, key: str, column: str, terms: DataFrame, max_words: int = 4) -> DataFrame:
-    """(key, candidates): distinct terms(term) met in the text as word runs of up to max_words, in order of first place."""
+def dictionary_matches(df: DataFrame, key: str, column: str, terms: DataFrame) -> DataFrame:
+    """(key, candidates): distinct terms(term) met in the text as runs of words, however long, in order of first place.
+
+    A place of the text is one row that meets the terms with its first word and is then compared with the whole term.
+    """
+    known = terms.select(F.concat(T.plain(F.col("term")), F.lit(" ")).alias("run"), "term").where("run <> ' '").groupBy("run").agg(F.min("term").alias("term"))
+    known = known.select(F.substring_index("run", " ", 1).alias("first"), "run", "term")
+    longest = known.agg(F.max(F.size(F.split("run", " ")))).first()[0] or 2
     words = df.select(key, F.split(T.plain(F.col(column)), " ").alias("w"))
-    runs = words.select(key, "w", F.explode(F.sequence(F.lit(1), F.lit(max_words))).alias("n")).where(F.size("w") >= F.col("n"))
-    grams = runs.select(key, F.posexplode(F.expr("transform(sequence(1, size(w) - n + 1), i -> array_join(slice(w, i, n), ' '))")).alias("pos", "gram"))
-    known = terms.select(T.plain(F.col("term")).alias("gram"), "term").dropDuplicates(["gram"])
-    hits = grams.join(known, "gram").groupBy(key, "term").agg(F.min("pos").alias("pos"))
+    places = words.select(key, F.posexplode(F.expr(f"transform(w, (x, i) -> named_struct('first', x, 'here', concat(array_join(slice(w, i + 1, {longest - 1}), ' '), ' ')))")).alias("pos", "p"))
+    hits = places.select(key, "pos", "p.first", "p.here").join(known, "first").where(F.col("here").startswith(F.col("run"))).groupBy(key, "term").agg(F.min("pos").alias("pos"))
     return hits.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("candidates"))
 
 

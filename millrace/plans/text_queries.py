@@ -170,14 +170,21 @@ def str4(spark, sf):
     return _docs(spark, sf).select("doc_id", sample_accession(x).alias("accession"))
 
 
-@query("str5_library_class", f"SELECT doc_id, {_classes('v', T.LIBRARY_CLASSES)} AS library_selection FROM {_from(S.TITLES)}")
+_JOINED = "replace(replace(replace(lower(v), ' ', ''), '-', ''), '.', '')"
+
+
+def _any(*words: str) -> str:
+    return "(" + " OR ".join(f"contains(s, '{w}')" for w in words) + ")"
+
+
+@query("str5_library_class", f"SELECT doc_id, CASE WHEN {_any('polya', 'oligodt', 'truseqmrna', 'smartermrna')} THEN 'polyA' WHEN {_any('ribominus', 'ribodep', 'ribozero', 'depleteribosom', 'rrnadeple', 'rrnaminus', 'rrnaremoval')} THEN 'inverse rRNA' WHEN {_any('hybridselection', 'exoncapture', 'exomecapture', 'rnaexome', 'bait', 'capturebased', 'targetedtranscriptome', 'sureselect')} THEN 'hybrid selection' WHEN {_any('truseqsmall', 'sizefraction', 'smallrna', 'mirna', 'microrna')} THEN 'small RNA' ELSE '' END AS library_selection FROM (SELECT doc_id, {_JOINED} AS s FROM {_from(S.TITLES)}) t")
 def str5(spark, sf):
     return _over(S.TITLES)(spark, sf).select("doc_id", T.first_class(F.col("v"), T.LIBRARY_CLASSES).alias("library_selection"))
 
 
-@query("str6_source_class", f"SELECT doc_id, {_classes('v', T.SOURCE_CLASSES)} AS sequencing_source FROM {_from(S.SOURCES)}")
+@query("str6_source_class", f"SELECT doc_id, CASE WHEN {_any('visium', 'geomx', 'merfish', 'hdst', 'slideseq', 'nanostring')} OR regexp_matches(lower(v), 'spatial.{{0,10}}(transcriptomic|sequencing|st-seq)') THEN 'spatial' WHEN {_any('singlecell', 'singlenucleus', 'scrna', '10x', 'dropseq', 'smartseq', 'fluidigm', 'indrop', 'seqwell', 'c1platform', 'microwell')} THEN 'single cell' WHEN {_any('bulk', 'wholetranscriptome', 'wta', 'rnaseq')} THEN 'bulk' ELSE '' END AS sequencing_source FROM (SELECT doc_id, v, {_JOINED} AS s FROM {_from(S.SOURCES + ['spatial ST-seq of skin'])}) t")
 def str6(spark, sf):
-    return _over(S.SOURCES)(spark, sf).select("doc_id", T.first_class(F.col("v"), T.SOURCE_CLASSES).alias("sequencing_source"))
+    return _over(S.SOURCES + ["spatial ST-seq of skin"])(spark, sf).select("doc_id", T.first_class(F.col("v"), T.SOURCE_CLASSES).alias("sequencing_source"))
 
 
 _BIOPSY = (("metastasis", " metasta(sis|ses|tic) "), ("blood", " (blood|plasma|venous) "))
@@ -345,10 +352,15 @@ def str31(spark, sf):
     return _over(S.SOURCES + ["yes", "no", "partial response", "Resistant", "melanoma"])(spark, sf).select("doc_id", *[T.first_class(F.col("v"), c).alias(k) for k, c in _CANON.items()])
 
 
-@query("str32_duration_days", f"""SELECT doc_id, v, round(CASE WHEN contains(lower(v), 'fortnight') THEN 14.0 WHEN u LIKE 'h%' THEN n / 24 WHEN u LIKE 'd%' THEN n WHEN u LIKE 'w%' THEN n * 7 WHEN u LIKE 'mi%' THEN n / 1440 WHEN u LIKE 'mo%' THEN n * 30 WHEN u LIKE 'y%' THEN n * 365 END, 6) AS days
-FROM (SELECT doc_id, v, TRY_CAST(regexp_extract(lower(v), '{T.DURATION}', 1) AS DOUBLE) AS n, regexp_extract(lower(v), '{T.DURATION}', 2) AS u FROM {_from(S.DURATIONS)}) w""")
+_SPOKEN = ["two weeks", "three days", "deux semaines", "une quinzaine", "dix-sept jours", "quelques heures", "a couple of months", "1,5 heures", "½ day", "treated for twelve hours", "someone days", "long term"]
+
+
+@query("str32_duration_days", f"""SELECT doc_id, v, round(d, 6) AS days, CASE WHEN d IS NULL THEN trim(v) WHEN d < 2 THEN CAST(round_even(d * 24, 0) AS BIGINT) || ' hours' WHEN d < 21 THEN CAST(round_even(d, 0) AS BIGINT) || ' days' WHEN d < 90 THEN CAST(round_even(d / 7, 0) AS BIGINT) || ' weeks' ELSE CAST(round_even(d / 30, 0) AS BIGINT) || ' months' END AS canonical
+FROM (SELECT doc_id, v, CASE WHEN regexp_matches(lower(v), 'fortnight|quinzaine') THEN 14.0 WHEN u LIKE 'h%' THEN n / 24 WHEN u LIKE 'd%' OR u LIKE 'j%' THEN n WHEN u LIKE 'w%' OR u LIKE 's%' THEN n * 7 WHEN u LIKE 'mi%' THEN n / 1440 WHEN u LIKE 'm%' THEN n * 30 WHEN u LIKE 'y%' THEN n * 365 END AS d
+FROM (SELECT doc_id, v, g[2] AS u, coalesce(TRY_CAST(replace(g[1], ',', '.') AS DOUBLE), CASE g[1] WHEN 'few' THEN 3 WHEN 'quelques' THEN 3 WHEN 'couple' THEN 2 WHEN 'une' THEN 1 END, nullif(list_position(['one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine', 'ten', 'eleven', 'twelve', 'thirteen', 'fourteen', 'fifteen', 'sixteen', 'seventeen', 'eighteen', 'nineteen', 'twenty'], g[1]), 0), nullif(list_position(['un', 'deux', 'trois', 'quatre', 'cinq', 'six', 'sept', 'huit', 'neuf', 'dix', 'onze', 'douze', 'treize', 'quatorze', 'quinze', 'seize', 'dix-sept', 'dix-huit', 'dix-neuf', 'vingt'], g[1]), 0)) AS n
+FROM (SELECT doc_id, v, [trim(regexp_extract(t, p, 1)), regexp_extract(t, p, 2)] AS g FROM (SELECT doc_id, v, replace(lower(v), '½', '0.5') AS t, '(?:^|[ (])([0-9.,]+ ?|dix-[a-z]+ |[a-z]+ )(?:of )?(min|mins|minutes?|h|hrs?|hours?|heures?|d|days?|jours?|w|wks?|weeks?|semaines?|m|mo|mos|months?|mois|y|yrs?|years?)([^a-z]|$)' AS p FROM {_from(S.DURATIONS + _SPOKEN)}) a) b) c) w""")
 def str32(spark, sf):
-    return _over(S.DURATIONS)(spark, sf).select("doc_id", "v", F.round(T.duration_days(F.col("v")), 6).alias("days"))
+    return _over(S.DURATIONS + _SPOKEN)(spark, sf).select("doc_id", "v", F.round(T.duration_days(F.col("v")), 6).alias("days"), T.duration_text(F.col("v")).alias("canonical"))
 
 
 @query("str33_loose_equal", f"SELECT doc_id, regexp_replace(a, '[^A-Za-z0-9]+', '', 'g') = regexp_replace(b, '[^A-Za-z0-9]+', '', 'g') AS same FROM (SELECT doc_id, {S.pick_sql('doc_id', S.SYNONYMS)} AS a, {S.pick_sql('doc_id', ['lymph-node', 'ab', 'A1', 'Skin.', 'none'])} AS b FROM documents) t")
@@ -376,9 +388,9 @@ def str36(spark, sf):
     return _over(["basal carcinoma", "gene therapy", "SK-MEL-2", "skin"])(spark, sf).select("doc_id", F.array_join(surface_variants(F.col("v")), "|").alias("variants"))
 
 
-@query("str47_slug", "SELECT doc_id, CASE WHEN s = '' THEN 'unnamed' WHEN length(s) <= 80 THEN s ELSE s[1:71] || '_' || md5(s)[1:8] END AS slug FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text[1:200], '[^A-Za-z0-9_-]+', '_', 'g'), '_{2,}', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM documents) t")
+@query("str47_slug", "SELECT doc_id, CASE WHEN s = '' THEN 'unnamed' WHEN length(s) <= 80 THEN s ELSE s[1:71] || '_' || md5(s)[1:8] END AS slug FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[^A-Za-z0-9_-]+', '_', 'g'), '_{2,}', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM documents) t")
 def str47(spark, sf):
-    return _docs(spark, sf).select("doc_id", T.slug(F.substring("text", 1, 200)).alias("slug"))
+    return _docs(spark, sf).select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
 @query("str48_file_key", "SELECT doc_id, source || '_' || doc_id AS key FROM documents")

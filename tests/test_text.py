@@ -26,6 +26,21 @@ def test_durations(spark):
     assert one(spark, T.duration_days, ["24 h", "2 weeks", "a fortnight", "6 months", "1 year", "90 min", "x", None]) == [1.0, 14.0, 14.0, 180.0, 365.0, 0.0625, None, None]
 
 
+def test_durations_in_words(spark):
+    cases = {"two weeks": 14.0, "three days": 3.0, "deux semaines": 14.0, "une quinzaine": 14.0, "dix-sept jours": 17.0, "quelques heures": 0.125, "a couple of months": 60.0, "1,5 jours": 1.5, "someone days": None, "long term": None}
+    assert one(spark, T.duration_days, list(cases)) == list(cases.values())
+    assert one(spark, T.duration_text, ["36 h", "two weeks", "five weeks", "1 year", " overnight ", None]) == ["36 hours", "14 days", "5 weeks", "12 months", "overnight", None]
+
+
+def test_terms_of_any_length_are_found(spark):
+    from millrace.operators.resolve import dictionary_matches
+
+    terms = spark.createDataFrame([("diffuse large B-cell lymphoma",), ("Lymphoma",), ("large",), ("",), (None,)], "term string")
+    docs = spark.createDataFrame([(1, "a case of Diffuse large B cell lymphoma, late"), (2, "lymphomas"), (3, ""), (4, None), (5, "large lymphoma large")], "k int, text string")
+    got = {r.k: r.candidates for r in dictionary_matches(docs, "k", "text", terms).collect()}
+    assert got == {1: ["diffuse large B-cell lymphoma", "large", "Lymphoma"], 5: ["large", "Lymphoma"]}
+
+
 def test_missing_policies(spark):
     values = ["unknown", "Not Applicable", " ", "x", None, "nan"]
     assert one(spark, lambda c: T.is_missing(c, "normalisation"), values) == [True, False, True, False, True, False]
