@@ -36,6 +36,8 @@ from .wordsplit import Pieces
 MAGIC = b"MRBP"
 _HEAD = struct.Struct("<4sIII")
 _CACHE = 1 << 18
+#: Files whose starts are broadcast, 24 bytes each; of more, they are joined by a shuffle.
+MOST_SENT = 1 << 20
 
 
 @functools.cache
@@ -87,7 +89,15 @@ def encode_texts(raw: np.ndarray, off: np.ndarray, path: str, specials: tuple[by
     return ids, np.diff(cuts)
 
 
-def _encode(path: str, end_id: int, bounds: np.ndarray, width: int):
+def one_to_a_task(spark: SparkSession, n: int) -> np.ndarray:
+    """For each of n partitions, a number that hash partitioning deals to it: ranges dealt by their own numbers would share tasks."""
+    number = F.col("id").cast("int")
+    rows = spark.range(32 * n).groupBy(F.pmod(F.hash(number), F.lit(n)).alias("k")).agg(F.min(number).alias("v")).collect()
+    known = {r.k: r.v for r in rows}
+    return np.array([known.get(k, k) for k in range(n)], np.int32)
+
+
+def _encode(path: str, end_id: int, bounds: np.ndarray, width: int, dealt: np.ndarray):
     def run(batches):
         tok = _tokenizer(path)
         specials = tuple(t.content.encode() for t in tok.get_added_tokens_decoder().values())
@@ -105,8 +115,8 @@ def _encode(path: str, end_id: int, bounds: np.ndarray, width: int):
                     part = np.append(ids[a:b], np.uint32(end_id))
                     crcs.append(zlib.crc32(part.astype("<u4").tobytes()))
                     blobs.append(part.astype(kind).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(at), keys, pa.array(crcs, pa.int64()), pa.array(sizes + 1, pa.int64()), pa.array([pack.compress(b) for b in blobs], pa.binary())],
-                                                 names=["range", "doc_id", "crc", "n_tokens", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array(at), keys, pa.array(crcs, pa.int64()), pa.array(sizes + 1, pa.int64()), pa.array([pack.compress(b) for b in blobs], pa.binary()), pa.array(dealt[at])],
+                                                 names=["range", "doc_id", "crc", "n_tokens", "blob", "dealt"])
     return run
 
 
@@ -188,23 +198,31 @@ def _write(chunk_ids: int, file_ids: int, width: int):
     return run
 
 
-def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, width: int = 2, chunk_ids: int = 1 << 16, file_ids: int = 4 << 20, ranges: int | None = None) -> None:
+def width_of(tokenizer: str, end_id: int) -> int:
+    """Bytes of an id: 2 where every id of the vocabulary fits, else 4."""
+    return 2 if max([end_id, *_tokenizer(tokenizer).get_vocab(with_added_tokens=True).values()]) < 1 << 16 else 4
+
+
+def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, width: int | None = None, chunk_ids: int = 1 << 16, file_ids: int = 4 << 20, ranges: int | None = None) -> None:
     """Encodes docs(doc_id, text) and writes the files to path, in ascending order of doc_id."""
     spark = docs.sparkSession
+    width = width or width_of(tokenizer, end_id)
     if ranges is None:
         ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     cuts = docs.selectExpr("cast(doc_id as bigint) doc_id").agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [0.5], 10000)).first()[0]
     bounds = np.unique(np.array(cuts or [], np.int64))
-    ids = map_batches(docs.select(F.col("doc_id").cast("bigint"), "text"), _encode(tokenizer, end_id, bounds, width), "range int, doc_id bigint, crc bigint, n_tokens bigint, blob binary")
-    ordered = ids.repartition(ranges, "range").sortWithinPartitions("range", "doc_id", "crc", "n_tokens").select("range", "doc_id", "n_tokens", "blob")
+    ids = map_batches(docs.select(F.col("doc_id").cast("bigint"), "text"), _encode(tokenizer, end_id, bounds, width, one_to_a_task(spark, ranges)), "range int, doc_id bigint, crc bigint, n_tokens bigint, blob binary, dealt int")
+    ordered = ids.repartition(ranges, "dealt").sortWithinPartitions("range", "doc_id", "crc", "n_tokens").select("range", "doc_id", "n_tokens", "blob")
     ordered.mapInArrow(_write(chunk_ids, file_ids, width), _FILES).write.option("compression", "none").option("parquet.block.size", 32 << 20).parquet(path)
 
 
-def read(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
+def read(spark: SparkSession, path: str, width: int) -> DataFrame:
     """One row per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     files = spark.read.schema(_FILES).parquet(path)
     index = files.select("range", "part", "n_ids").withColumn("before", F.sum("n_ids").over(W.orderBy("range", "part").rowsBetween(W.unboundedPreceding, -1)))
-    starts = index.select("range", "part", F.coalesce("before", F.lit(0)).cast("bigint").alias("before"))
+    starts = index.select("range", "part", F.coalesce("before", F.lit(0)).cast("bigint").alias("before"))  # a row of numbers for each file
+    if files.count() <= MOST_SENT:
+        starts = F.broadcast(starts)  # payloads stay where they are
 
     def run(batches):
         for batch in batches:
@@ -217,11 +235,12 @@ def read(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
                     pa.array([zlib.crc32(little[4 * a: 4 * b]) for a, b in zip(cuts, cuts[1:])], pa.int64()),
                 ], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.join(starts, ["range", "part"]).select("payload", "before").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return map_batches(files.join(starts, ["range", "part"]).select("payload", "before"), run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def write_and_read(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
     """Files in the shared folder, and the rows read back from them."""
     path = fresh_path(docs.sparkSession, "planes")
+    options["width"] = options.get("width") or width_of(tokenizer, options.get("end_id", 2))
     write(docs, tokenizer, path, **options)
-    return read(docs.sparkSession, path, options.get("width", 2))
+    return read(docs.sparkSession, path, options["width"])

@@ -2,7 +2,8 @@
 
 Records are hashed into n_slots slots, the bytes of each slot are summed, and a map from slots to shards is stored with
 a version. A new map deals the slots, largest first, each to the shard with least bytes so far. Growing edits a map:
-the new shard takes slots from the fullest shards until it has its share, and no other slot moves.
+each shard gives its smallest slots to the new one while they fit into what it holds beyond the new fair share, so no
+shard falls under that share, the new one gets at most its share, and no other slot moves.
 
 Slots are found from a hash of all of doc_id and the text's checksum, so that copies of one doc_id spread too. Sizes of
 slots and the map are n_slots rows, whatever the input, so they may be broadcast. Places inside a shard are numbered
@@ -53,11 +54,12 @@ def deal(sizes: DataFrame, n_shards: int, n_slots: int = N_SLOTS) -> DataFrame:
 
 
 def grow(slot_map: DataFrame) -> DataFrame:
-    """The next version with one more shard, which takes the smallest slots of each shard beyond the new fair share."""
+    """The next version with one more shard, which takes the smallest slots of each shard as far as they lie beyond the new fair share."""
     whole = W.partitionBy()  # the map has n_slots rows
-    by_size = W.partitionBy("shard").orderBy(F.desc("bytes"), "virtual_slot").rowsBetween(W.unboundedPreceding, 0)
+    by_size = W.partitionBy("shard").orderBy("bytes", "virtual_slot").rowsBetween(W.unboundedPreceding, 0)
     j = slot_map.withColumn("all_bytes", F.sum("bytes").over(whole)).withColumn("n_shards", F.max("shard").over(whole) + 1).withColumn("upto", F.sum("bytes").over(by_size))
-    return j.select("virtual_slot", "bytes", F.when(F.col("upto") > F.col("all_bytes") / (F.col("n_shards") + 1), F.col("n_shards")).otherwise(F.col("shard")).cast("int").alias("shard"), (F.col("version") + 1).alias("version"))
+    own = F.sum("bytes").over(W.partitionBy("shard"))
+    return j.select("virtual_slot", "bytes", F.when(F.col("upto") <= own - F.col("all_bytes") / (F.col("n_shards") + 1), F.col("n_shards")).otherwise(F.col("shard")).cast("int").alias("shard"), (F.col("version") + 1).alias("version"))
 
 
 def store(slot_map: DataFrame, path: str) -> None:

@@ -1,8 +1,9 @@
 """URL filter: domain and path rules first, then gradient-boosted trees on lexical features of the URL.
 
 Features: lengths, depth, digit and symbol ratios, character entropy, parameters, and statistics of the host's suffix
-and labels. The trees (logistic loss, histogram splits, Newton leaves) are fitted on at most train_rows labelled URLs,
-taken by the smallest hashes of the URL, so the fit is bounded and repeatable; every URL is judged.
+and labels, for training rows from the other folds. The trees (logistic loss, histogram splits, Newton leaves) are fitted
+on at most train_rows labelled URLs, taken by the smallest hashes of the URL, so the fit is bounded and repeatable; every
+URL is judged.
 
 Defined cases: a null URL or one without "://" has empty host and path, matches no rule and is judged by the trees on its
 text (null: empty); an empty table stays empty; repeated rows repeat; other columns are not carried. Without labelled
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import hash_sample
 
 TRAIN_ROWS = 20_000
+FOLDS = 5
 FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "symbol_ratio", "entropy", "host_entropy", "params",
             "query_length", "host_digits", "host_hyphens", "longest_label", "longest_segment", "vowel_ratio", "https", "suffix_length", "suffix_rate", "domain_rate")
 
@@ -146,10 +149,14 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[BoostedTrees
     known = labelled.where("block is not null").select("url", F.col("block").cast("int").alias("block")).distinct()
     rows = hash_sample(known, train_rows, "url", "block").collect()
     urls, y = [r[0] for r in rows], np.array([r[1] for r in rows], float)
-    rates = smoothed_rates(urls, y)
-    x = np.array([features(u, rates) for u in urls], float).reshape(len(urls), len(FEATURES))
+    fold = np.array([zlib.crc32((u or "").encode("utf-8", "replace")) % FOLDS for u in urls], int)
+    x = np.zeros((len(urls), len(FEATURES)))
+    for k in range(FOLDS):  # a row's suffix rates come from the other folds
+        others = smoothed_rates([u for u, f in zip(urls, fold) if f != k], y[fold != k])
+        for i in np.flatnonzero(fold == k):
+            x[i] = features(urls[i], others)
     model = BoostedTrees()
-    return (model.fit(x, y) if len(y) else model), rates
+    return (model.fit(x, y) if len(y) else model), smoothed_rates(urls, y)
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], model: BoostedTrees, rates: dict[str, float], id_col: str = "page_id", url_col: str = "url", threshold: float = 0.5) -> DataFrame:
