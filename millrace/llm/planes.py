@@ -22,6 +22,7 @@ import functools
 import os
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,7 @@ def _tokenizer(path: str):
 
 
 @functools.cache
-def _known_pieces(path: str) -> dict[bytes, np.ndarray]:
+def _known_pieces(path: str) -> dict[bytes, list[int]]:
     return {}
 
 
@@ -65,14 +66,14 @@ def encode_texts(raw: np.ndarray, off: np.ndarray, path: str, specials: tuple[by
     fresh = {}
     if new:
         for w, e in zip(new, tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-            fresh[w] = np.array(e.ids, np.uint32)
+            fresh[w] = e.ids
     each = [fresh[w] if w in fresh else cache[w] for w in pieces.distinct]
     room = _CACHE - len(cache)
     if room > 0:
         cache.update(list(fresh.items())[:room])
     sizes = np.fromiter(map(len, each), np.int64, len(each))
-    flat = np.concatenate(each) if each else np.zeros(0, np.uint32)
     begin = np.concatenate([[0], np.cumsum(sizes)])
+    flat = np.fromiter(chain.from_iterable(each), np.uint32, int(begin[-1]))
     n = sizes[pieces.index]
     ends = np.concatenate([[0], np.cumsum(n)])
     ids = flat[np.repeat(begin[pieces.index] - ends[:-1], n) + np.arange(ends[-1])] if len(n) else np.zeros(0, np.uint32)
@@ -105,7 +106,7 @@ def _encode(path: str, end_id: int, bounds: np.ndarray, width: int, dealt: np.nd
         kind = np.uint16 if width == 2 else np.uint32
         for batch in batches:
             raw, off = binary_parts(batch.column(1))
-            for i, j in blocks_of(off, 1 << 20):
+            for i, j in blocks_of(off, 4 << 20):
                 ids, sizes = encode_texts(raw[off[i]: off[j]], off[i: j + 1] - off[i], path, specials)
                 cuts = np.concatenate([[0], np.cumsum(sizes)])
                 keys = batch.column(0).slice(i, j - i)
