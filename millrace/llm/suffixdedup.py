@@ -261,7 +261,7 @@ _SENT_SQL = "bucket int, grp int, n int, blob binary"
 
 
 def _dealt(found: _Contents, length: int, buckets: int):
-    """(bucket, texts, smallest docs, keys) of what a group sends, in an order that only its contents decide."""
+    """(bucket, texts, smallest docs, keys, numbers of whole runs, -1 for windows) of what a group sends, in an order that only its contents decide."""
     names = sorted(found.names)
     at = np.fromiter(map(found.names.__getitem__, names), np.int64, len(names))
     grams, docs, way = found.gram[at], found.doc[at], found.way[at]
@@ -276,16 +276,17 @@ def _dealt(found: _Contents, length: int, buckets: int):
     texts = [names[k] for k in np.flatnonzero(whole).tolist()] + list(windows)
     keys = np.concatenate([grams[whole], np.array([int.from_bytes(hashlib.blake2b(w, digest_size=6).digest(), "little") for w in windows], np.uint64)])
     docs = np.concatenate([docs[whole], np.fromiter(windows.values(), np.int64, len(windows))])
+    which = np.concatenate([at[whole], np.full(len(windows), -1)])
     for b, at in _cut(((keys >> np.uint64(7)) % np.uint64(buckets)).astype(np.int64)):
         o = at[np.argsort(keys[at], kind="stable")]
-        yield b, [texts[k] for k in o.tolist()], docs[o], keys[o]
+        yield b, [texts[k] for k in o.tolist()], docs[o], keys[o], which[o]
 
 
 def _gather(length: int, buckets: int):
     def run(key, left, right):
         grp = key[0].as_py()
         rows = []
-        for b, texts, docs, keys in _dealt(_Contents(left, right, length), length, buckets):
+        for b, texts, docs, keys, _ in _dealt(_Contents(left, right, length), length, buckets):
             rows.append((b, grp, len(texts), _pack(_steps(keys), docs, np.fromiter(map(len, texts), np.int32, len(texts)), np.frombuffer(b"".join(texts), np.uint8), level=3)))
         return pa.Table.from_batches([_rows(rows, _SENT)])
     return run
@@ -351,12 +352,16 @@ def long_prefix_classes(sym: np.ndarray, length: int) -> tuple[np.ndarray, np.nd
     bwt = sym[order - 1].astype(np.int64)
     wave = Wavelet(bwt)
     before = np.concatenate([[0], np.cumsum(np.bincount(sym, minlength=int(sym.max()) + 1))]).astype(np.int64)
+    run = np.cumsum(np.append(True, bwt[1:] != bwt[:-1]))
+    back = np.empty(n, np.int64)  # place of each suffix once the symbol before it is put in front
+    back[np.argsort(bwt.astype(np.uint16), kind="stable")] = np.arange(n)
     cut = np.zeros(n + 1, bool)
     cut[0] = cut[n] = True
     lo, hi = np.zeros(1, np.int64), np.full(1, n, np.int64)
     for _ in range(length):
-        s, a, b = wave.expand(lo, hi)
-        lo, hi = before[s] + a, before[s] + b
+        one = run[lo] == run[hi - 1]  # the same symbol before all of the interval: its places move on as they are
+        s, a, b = wave.expand(lo[~one], hi[~one])
+        lo, hi = np.concatenate([back[lo[one]], before[s] + a]), np.concatenate([back[hi[one] - 1] + 1, before[s] + b])
         new = ~cut[hi]
         if not new.any() and not len(lo):
             break
@@ -396,61 +401,45 @@ _JUDGED_SQL = "grp int, n int, blob binary, bucket int"
 def _judge(length: int, batch_bytes: int = 1 << 18):
     """The smallest docs of all windows, back to the groups in the order in which each sent its texts."""
     def run(key, table):
-        least: dict[bytes, int] = {}
-        by_gram: dict[int, bytes | dict[bytes, None]] = {}  # one text or several; a text can come as a run of its gram and as a window of its own key
-        sent = []
+        names: dict[bytes, int] = {}
+        sent, keys, docs = [], [], []
         for grp, n, blob in zip(*(table.column(c).to_pylist() for c in ("grp", "n", "blob"))):
-            keys, docs, sizes, raw = _unpack(blob, n, np.uint64, np.int64, np.int32)
-            keys = np.cumsum(keys, dtype=np.uint64)
-            data, ends = raw.tobytes(), np.cumsum(sizes).tolist()
-            texts = [data[b - s: b] for s, b in zip(sizes.tolist(), ends)]
-            for t, g, d in zip(texts, keys.tolist(), docs.tolist()):
-                there = by_gram.get(g)
-                if there is None:
-                    by_gram[g] = t
-                elif type(there) is dict:
-                    there[t] = None
-                elif there != t:
-                    by_gram[g] = {there: None, t: None}
-                known = least.get(t)
-                if known is None or d < known:
-                    least[t] = d
-            sent.append((grp, texts))
-        answer: dict[bytes, np.ndarray | int] = {}  # one number where it holds for all windows
-        pool: list[bytes] = []
-        held = 0
-
-        def told(t, docs):
-            answer[t] = np.minimum(answer[t], docs) if t in answer else docs
-
-        def settle():
-            if pool:
-                for t, docs in zip(pool, smallest_docs(pool, np.array([least[t] for t in pool], np.int64), length)):
-                    told(t, docs)
-
-        for texts in by_gram.values():
-            if type(texts) is bytes:
-                if len(texts) < 2 * length:
-                    told(texts, least[texts])
-                    continue
-                texts = (texts,)
-            pool += texts
-            held += sum(map(len, texts))
-            if held > batch_bytes:
-                settle()
-                pool, held = [], 0
-        settle()
+            step, doc, sizes, raw = _unpack(blob, n, np.uint64, np.int64, np.int32)
+            data, ends = raw.tobytes(), np.cumsum(sizes)
+            which = np.fromiter((names.setdefault(data[a:b], len(names)) for a, b in zip((ends - sizes).tolist(), ends.tolist())), np.int64, n)
+            sent.append((grp, which))
+            keys.append(np.cumsum(step, dtype=np.uint64))
+            docs.append(doc)
+        texts, ids = list(names), np.concatenate([w for _, w in sent])
+        del names
+        count = np.fromiter(map(len, texts), np.int64, len(texts)) - length + 1
+        least = np.full(len(texts), np.iinfo(np.int64).max)
+        np.minimum.at(least, ids, np.concatenate(docs))
+        # distinct (key, text): a text can come as a run of its gram and as a window of its own key
+        keys, ids = _distinct_pairs(np.concatenate(keys), ids)
+        head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        many = np.diff(np.append(head, len(keys)))
+        alone = (many == 1) & (count[ids[head]] <= length)
+        ends = np.cumsum(np.append(0, count))
+        answer = np.full(ends[-1], np.iinfo(np.int64).max)
+        lone = np.unique(ids[head[alone]])
+        answer[_ranges(ends[lone], count[lone])] = np.repeat(least[lone], count[lone])
+        head, many = head[~alone], many[~alone]
+        pooled = ids[_ranges(head, many)]
+        full = np.cumsum(count[pooled] + length - 1)[np.cumsum(many) - 1]  # bytes up to the end of each key's texts
+        at = np.cumsum(many)
+        i = k = 0
+        while k < len(head):
+            k = min(len(head), int(np.searchsorted(full, (full[k - 1] if k else 0) + batch_bytes, side="right")) + 1)
+            pool, i = pooled[i: at[k - 1]], int(at[k - 1])
+            said = np.concatenate(smallest_docs([texts[t] for t in pool.tolist()], least[pool], length))
+            np.minimum.at(answer, _ranges(ends[pool], count[pool]), said)
         rows = []
         bucket = key[0].as_py()
-        for grp, texts in sent:
-            size = np.fromiter(map(len, texts), np.int64, len(texts)) - length + 1
-            said = [answer[t] for t in texts]
-            docs = np.repeat(np.array([0 if isinstance(x, np.ndarray) else x for x in said], np.int64), size)
-            for x, end in zip(said, np.cumsum(size).tolist()):
-                if isinstance(x, np.ndarray):
-                    docs[end - len(x): end] = x
-            head = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))  # runs of one document
-            rows.append((grp, len(head), _pack(docs[head], np.diff(np.append(head, len(docs))).astype(np.int32)), bucket))
+        for grp, which in sent:
+            told = answer[_ranges(ends[which], count[which])]
+            head = np.flatnonzero(np.append(True, told[1:] != told[:-1]))  # runs of one document
+            rows.append((grp, len(head), _pack(told[head], np.diff(np.append(head, len(told))).astype(np.int32)), bucket))
         return pa.Table.from_batches([_rows(rows, _JUDGED)])
     return run
 
@@ -458,27 +447,24 @@ def _judge(length: int, batch_bytes: int = 1 << 18):
 def removed_masks(left: pa.Table, told: pa.Table, judged: pa.Table, length: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, offsets, mask of removed bytes) of the texts of one group."""
     found = _Contents(left, told, length)
-    answer: dict[bytes, np.ndarray | int] = {}  # a number for a text of one window
+    count = np.fromiter(map(len, found.names), np.int64, len(found.names)) - length + 1
+    ends = np.cumsum(np.append(0, count))
+    values = np.full(ends[-1], np.iinfo(np.int64).max)
+    answer: dict[bytes, int] = {}  # of windows that came one by one
     said = {b: _unpack(blob, n, np.int64, np.int32)[:2] for b, n, blob in zip(judged.column("bucket").to_pylist(), judged.column("n").to_pylist(), judged.column("blob").to_pylist())}
-    for b, texts, _, _ in _dealt(found, length, buckets):
-        docs, at = np.repeat(*said.pop(b)), 0
-        each = docs.tolist()
-        for t in texts:
-            n = len(t) - length + 1
-            v = each[at] if n == 1 else docs[at: at + n]
-            at += n
-            if t in answer:
-                v = min(answer[t], v) if n == 1 else np.minimum(answer[t], v)
-            answer[t] = v
-    values = []
-    for t, how in zip(found.names, found.way.tolist()):
-        v = None if how == BY_WINDOW else np.atleast_1d(answer[t])
-        if how != ONE_WAY:  # its windows came one by one
-            w = np.fromiter((answer[t[s: s + length]] for s in range(len(t) - length + 1)), np.int64, len(t) - length + 1)
-            v = w if v is None else np.minimum(v, w)
-        values.append(v)
-    ends = np.cumsum([0, *map(len, values)])
-    values = np.concatenate(values) if values else np.zeros(0, np.int64)
+    for b, texts, _, _, which in _dealt(found, length, buckets):
+        docs, run = np.repeat(*said.pop(b)), which >= 0
+        size = np.where(run, count[which], 1) if len(count) else np.ones(len(which), np.int64)
+        start = np.cumsum(size) - size
+        values[_ranges(ends[which[run]], size[run])] = docs[_ranges(start[run], size[run])]
+        single = np.flatnonzero(~run)
+        answer.update(zip((texts[k] for k in single.tolist()), docs[start[single]].tolist()))
+    if answer:
+        names = list(found.names)
+        for k in np.flatnonzero(found.way != ONE_WAY).tolist():
+            t, n = names[k], int(count[k])
+            part = values[ends[k]: ends[k] + n]
+            np.minimum(part, np.fromiter((answer[t[s: s + length]] for s in range(n)), np.int64, n), out=part)
     del answer
     mask = np.zeros(len(found.raw), bool)
     for i, j, n, first, size, doc, which in found.blocks:
