@@ -48,25 +48,31 @@ def _slide(a: np.ndarray, width: int, op) -> np.ndarray:
     return op(out[: len(out) - (width - span)], out[width - span:]) if width > span else out
 
 
+#: Places whose grams are hashed at once.
+_PART = 1 << 14
+
+
 def window_grams(buf: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(starts of all windows of length bytes inside documents, 48-bit hash of each window's smallest gram)."""
     n = len(buf)
     if n < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    places, whole = n - GRAM + 1, n - length + 1
     pad = np.concatenate([buf, np.zeros(8, np.uint8)])
-    view = np.ndarray((n - GRAM + 1,), "<u8", pad.data, strides=(1,))
-    high = np.ndarray((n - GRAM + 1,), "<u8", pad[8:].data, strides=(1,))
-    h = view * _ODD[0]
-    h ^= h >> np.uint64(29)
-    h += high * _ODD[1]
-    h ^= h >> np.uint64(32)
-    h *= _ODD[2]
-    h ^= h >> np.uint64(31)
-    low = _slide(h, length - GRAM + 1, np.minimum)
-    inside = np.ones(n, bool)
-    for k in range(len(off) - 1):
-        inside[max(off[k], off[k + 1] - length + 1): off[k + 1]] = False
-    starts = np.flatnonzero(inside[: len(low)])
+    view = np.ndarray((places,), "<u8", pad.data, strides=(1,))
+    high = np.ndarray((places,), "<u8", pad[8:].data, strides=(1,))
+    low = np.empty(whole, np.uint64)
+    for at in range(0, whole, _PART):  # parts that stay in a core's cache
+        end = min(whole, at + _PART)
+        part = slice(at, end + length - GRAM)
+        h = view[part] * _ODD[0]
+        h ^= h >> np.uint64(29)
+        h += high[part] * _ODD[1]
+        h ^= h >> np.uint64(32)
+        h *= _ODD[2]
+        h ^= h >> np.uint64(31)
+        low[at:end] = _slide(h, length - GRAM + 1, np.minimum)
+    starts = _ranges(off[:-1], np.maximum(np.diff(off) - length + 1, 0))
     return starts, low[starts] >> np.uint64(16)
 
 
