@@ -1,7 +1,7 @@
 """Removal of repeated byte strings: threshold-bounded interval expansion on Burrows-Wheeler transforms.
 
 A byte goes if it is covered by a string of `length` bytes that also starts in a document with a smaller doc_id. Equal
-strings have the same smallest 16-byte gram (by a mixed hash), so that gram decides where they meet:
+strings have the same smallest 24-byte gram (by a mixed hash), so that gram decides where they meet:
 
 1. ask: each block of documents sends, by gram, one entry for its distinct grams; grams met in two documents or more are
    shared and are told to the document groups that hold them. Text that nobody shares stops here.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import binary_parts, blocks_of, give_back, map_batches, plain_names
 
-GRAM = 16
+GRAM = 24
 _NULL_ID = -(2**63)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -59,15 +59,16 @@ def window_grams(buf: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndar
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     places, whole = n - GRAM + 1, n - length + 1
     pad = np.concatenate([buf, np.zeros(8, np.uint8)])
-    view = np.ndarray((places,), "<u8", pad.data, strides=(1,))
-    high = np.ndarray((places,), "<u8", pad[8:].data, strides=(1,))
+    words = [np.ndarray((places,), "<u8", pad[k:].data, strides=(1,)) for k in range(0, GRAM, 8)]
     low = np.empty(whole, np.uint64)
     for at in range(0, whole, _PART):  # parts that stay in a core's cache
         end = min(whole, at + _PART)
         part = slice(at, end + length - GRAM)
-        h = view[part] * _ODD[0]
-        h ^= h >> np.uint64(29)
-        h += high[part] * _ODD[1]
+        h = words[0][part] * _ODD[0]
+        for word in words[1:]:
+            h ^= h >> np.uint64(29)
+            h += word[part]
+            h *= _ODD[1]
         h ^= h >> np.uint64(32)
         h *= _ODD[2]
         h ^= h >> np.uint64(31)
