@@ -11,6 +11,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,11 +41,41 @@ def unit(a: Column) -> Column:
     return F.transform(clean, lambda x: F.when(n > 0, x / n).otherwise(0.0))
 
 
+def _partial_sums(batches):
+    """(group, n, total) of a task's rows (group, vector)."""
+    held: dict = {}
+    for batch in batches:
+        groups, vectors = batch.column(0).dictionary_encode(null_encoding="encode"), batch.column(1)
+        sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy()
+        values = pc.fill_null(vectors.flatten(), 0.0).to_numpy()
+        starts, codes = np.cumsum(sizes) - sizes, groups.indices.to_numpy()
+        names = groups.dictionary.to_pylist()
+        for size in np.unique(sizes[sizes > 0]):
+            rows = np.flatnonzero(sizes == size)
+            total, n = np.zeros((len(names), size)), np.bincount(codes[rows], minlength=len(names))
+            np.add.at(total, codes[rows], values[starts[rows][:, None] + np.arange(size)])
+            for k in np.flatnonzero(n):
+                count, was = held.get(names[k], (0, np.zeros(0)))
+                both = np.zeros(max(size, len(was)))
+                both[:size] += total[k]
+                both[: len(was)] += was
+                held[names[k]] = (count + int(n[k]), both)
+    schema = pa.schema([("group", batch.schema.field(0).type), ("n", pa.int64()), ("total", pa.list_(pa.float64()))]) if held else None
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), schema.field(0).type), pa.array([n for n, _ in held.values()]), pa.array([t.tolist() for _, t in held.values()], schema.field(2).type)], schema=schema)
+
+
 def vector_sum(df: DataFrame, vector: str, by: str | None = None) -> DataFrame:
-    """(by, n, total): sums by place of the vectors of each group."""
-    keys = [by] if by else []
-    p = df.select(*keys, F.posexplode(vector).alias("pos", "x")).groupBy(*keys, "pos").agg(F.sum(F.col("x").cast("double")).alias("s"), F.count("*").alias("n"))
-    return p.groupBy(*keys).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias("total"))
+    """(by, n, total): sums by place of the vectors of each group; a task sends one row per group that it meets.
+
+    Null and empty vectors don't count, a null component adds nothing, shorter vectors are filled up with zeros.
+    """
+    group = F.col(by) if by else F.lit(0)
+    rows = df.select(group.alias("group"), F.col(vector).cast("array<double>").alias("vector"))
+    parts = rows.mapInArrow(_partial_sums, f"group {rows.schema['group'].dataType.simpleString()}, n bigint, total array<double>")
+    p = parts.select("group", "n", F.posexplode("total").alias("pos", "x")).groupBy("group", "pos").agg(F.sum("x").alias("s"), F.sum("n").alias("n"))
+    out = p.groupBy("group").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias("total"))
+    return out.withColumnRenamed("group", by) if by else out.drop("group")
 
 
 def centroid(df: DataFrame, vector: str, by: str | None = None) -> DataFrame:
@@ -234,10 +266,36 @@ def js_divergence(df: DataFrame, a: str, b: str, eps: float = 1e-12) -> DataFram
     return n.agg(F.sum(0.5 * F.col("p") * F.log(F.col("p") / F.col("m")) + 0.5 * F.col("q") * F.log(F.col("q") / F.col("m"))).alias("js"))
 
 
-def leakage_report(train: DataFrame, other: DataFrame, key: str, vector: str) -> DataFrame:
-    """One row: centroid cosine, near-duplicate rate and largest and mean nearest cosine of other against train."""
+def leakage_report(train: DataFrame, other: DataFrame, key: str, vector: str, content: str | None = None, sigma: float | None = None) -> DataFrame:
+    """One row on other against train.
+
+    overlap, overlap_ratio: distinct contents (vectors, if no column is named) in both, and their share of other's; rate, max_cos,
+    mean_cos: nearest cosines in train; centroid_cos; auc: of the cosine to train's centroid; loo_accuracy, mmd2, silhouette: of
+    the two sets as labels, with keys that differ over both. sigma is the median distance of a sample if not given. score_densities() has the curves.
+    """
+    content = content or vector
     c = centroid(train, vector).withColumnRenamed("centroid", "a").join(F.broadcast(centroid(other, vector).withColumnRenamed("centroid", "b")))
-    return c.select(cosine(F.col("a"), F.col("b")).alias("centroid_cos")).join(F.broadcast(near_duplicate_rate(other, train, key, vector)))
+    both = train.select(key, vector, F.lit(0).alias("side_of_row")).union(other.select(key, vector, F.lit(1)))
+    sides = train.select(F.col(content).alias("c"), F.lit(0).alias("s")).union(other.select(F.col(content).alias("c"), F.lit(1))).where("c is not null").groupBy("c").agg(F.min("s").alias("low"), F.max("s").alias("high"))
+    shared = F.count_if(F.col("low") < F.col("high"))
+    parts = [
+        sides.agg(shared.alias("overlap"), (shared / F.greatest(F.lit(1), F.count_if(F.col("high") == 1))).alias("overlap_ratio")),
+        near_duplicate_rate(other, train, key, vector),
+        auc(centroid_similarity(both, vector, train).select("similarity", (F.col("side_of_row") == 0).alias("inside")), "similarity", "inside").select("auc"),
+        loo_accuracy(both, key, vector, "side_of_row"),
+        mmd_rbf(train, other, key, vector, median_sigma(both, key, vector) if sigma is None else sigma).select("mmd2"),
+        silhouette(both, vector, "side_of_row").select("silhouette"),
+    ]
+    out = c.select(cosine(F.col("a"), F.col("b")).alias("centroid_cos"))
+    for part in parts:  # one row each
+        out = out.join(F.broadcast(part))
+    return out
+
+
+def score_densities(train: DataFrame, other: DataFrame, vector: str, points: int = 100) -> DataFrame:
+    """(side, id, density): curves of the cosine to train's centroid, of train and of other, each over its own range."""
+    sides = [kde(centroid_similarity(d, vector, train), "similarity", points).select(F.lit(n).alias("side"), "id", "density") for n, d in (("train", train), ("other", other))]
+    return sides[0].union(sides[1])
 
 
 def verdict(pair_median: Column, auc_deltas: list[Column], ks_p: Column) -> tuple[Column, Column]:

@@ -13,7 +13,7 @@ from millrace.operators import synth as Y
 from millrace.operators import vector as V
 
 from . import samples as S
-from .registry import query, table
+from .registry import query, sql_of, table
 
 # --- sampling -------------------------------------------------------------------------------------------------------
 
@@ -223,18 +223,26 @@ def vec16(spark, sf):
     return j.agg(*[F.round(F.percentile("c", q), 6).alias(n) for n, q in (("median", 0.5), ("q1", 0.25), ("q3", 0.75))])
 
 
-@query("vec17_qq", "SELECT 10 AS pct, round(quantile_cont(value, 0.1) FILTER (WHERE user_id % 2 = 0), 6) AS a, round(quantile_cont(value, 0.1) FILTER (WHERE user_id % 2 = 1), 6) AS b FROM events UNION ALL SELECT 50, round(quantile_cont(value, 0.5) FILTER (WHERE user_id % 2 = 0), 6), round(quantile_cont(value, 0.5) FILTER (WHERE user_id % 2 = 1), 6) FROM events")
+@query("vec17_qq", "SELECT i AS pct, round(a[i], 6) AS a, round(b[i], 6) AS b FROM (SELECT " + ", ".join(f"[{', '.join(f'quantile_cont(value, {i / 100}) FILTER (WHERE user_id % 2 = {side})' for i in range(1, 100))}] AS {n}" for side, n in ((0, "a"), (1, "b"))) + " FROM events) q, (SELECT unnest(generate_series(1, 99)) AS i) g")
 def vec17(spark, sf):
     e = table(spark, sf, "events")
-    q = F.array(F.lit(0.1), F.lit(0.5))
-    r = e.agg(F.percentile(F.when(F.col("user_id") % 2 == 0, F.col("value")), q).alias("a"), F.percentile(F.when(F.col("user_id") % 2 == 1, F.col("value")), q).alias("b"))
-    return r.select(F.explode(F.arrays_zip(F.array(F.lit(10), F.lit(50)).alias("pct"), "a", "b")).alias("z")).select(F.col("z")["pct"].alias("pct"), F.round("z.a", 6).alias("a"), F.round("z.b", 6).alias("b"))
+    q = F.array(*[F.lit(i / 100) for i in range(1, 100)])
+    r = e.agg(*[F.percentile(F.when(F.col("user_id") % 2 == side, F.col("value")), q).alias(n) for side, n in ((0, "a"), (1, "b"))])
+    z = r.select(F.posexplode(F.arrays_zip("a", "b")).alias("pos", "z"))
+    return z.select((F.col("pos") + 1).cast("bigint").alias("pct"), F.round("z.a", 6).alias("a"), F.round("z.b", 6).alias("b"))
 
 
-@query("vec18_leakage_report", f"SELECT round(list_cosine_similarity(a.c, b.c), 6) AS centroid_cos, m.rate, m.max_cos FROM {_cent('label % 2 = 0')} a, {_cent('label % 2 = 1')} b, (SELECT round(avg(CASE WHEN m >= 0.995 THEN 1.0 ELSE 0.0 END), 6) AS rate, round(max(m), 6) AS max_cos FROM (SELECT id, max(c) AS m FROM {_PAIR} WHERE la % 2 = 1 AND lb % 2 = 0 GROUP BY id) t) m")
+_AUC = sql_of("vec4_auc_vs_train")
+
+
+@query("vec18_leakage_report", f"""SELECT round(list_cosine_similarity(a.c, b.c), 6) AS centroid_cos, m.*, u.auc, l.accuracy AS loo_accuracy, d.mmd2, w.silhouette, o.overlap, round(o.overlap / o.n, 6) AS overlap_ratio
+FROM {_cent('label % 2 = 0')} a, {_cent('label % 2 = 1')} b, (SELECT round(avg(CASE WHEN m >= 0.995 THEN 1.0 ELSE 0.0 END), 6) AS rate, round(max(m), 6) AS max_cos, round(avg(m), 6) AS mean_cos FROM (SELECT id, max(c) AS m FROM {_PAIR} WHERE la % 2 = 1 AND lb % 2 = 0 GROUP BY id) t) m,
+({_AUC}) u, ({sql_of('vec7_loo_accuracy')}) l, ({sql_of('vec9_mmd')}) d, ({sql_of('vec10_silhouette')}) w,
+(SELECT count(DISTINCT e) FILTER (WHERE label % 2 = 1 AND e IN (SELECT e FROM {_U} x WHERE label % 2 = 0)) AS overlap, count(DISTINCT e) FILTER (WHERE label % 2 = 1) AS n FROM {_U} y) o""")
 def vec18(spark, sf):
     a, b = _halves(spark, sf)
-    return V.leakage_report(a, b, "vec_id", "embedding").select(*[F.round(c, 6).alias(c) for c in ("centroid_cos", "rate", "max_cos")])
+    r = V.leakage_report(a, b, "vec_id", "embedding", sigma=10.0).withColumnRenamed("accuracy", "loo_accuracy")
+    return r.select("overlap", *[F.round(c, 5 if c == "auc" else 6).alias(c) for c in ("centroid_cos", "rate", "max_cos", "mean_cos", "auc", "loo_accuracy", "mmd2", "silhouette", "overlap_ratio")])
 
 
 @query("vec19_verdict", "SELECT event_id, value / 10 >= 0.65 AND abs(value / 100 - 0.1) <= 0.05 AS representative, value > 0.05 AS ks_passes FROM events")

@@ -42,5 +42,10 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+def sql_of(name: str) -> str:
+    """SQL of a query registered above, to be part of another's."""
+    return _SQL[name]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

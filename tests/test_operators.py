@@ -264,3 +264,42 @@ def test_nearest_label_judges_every_vector(spark, tables):
     c = np.array([u[labels == k].mean(axis=0) for k in known])
     s = u @ (c / np.linalg.norm(c, axis=1, keepdims=True)).T
     assert run(spark, "vec21_nearest_label") == {r.vec_id: known[i] for r, i in zip(rows, s.argmax(axis=1).tolist())}
+
+
+def test_chrf_of_equals_counted_grams():
+    from collections import Counter
+
+    def plain(a, b):
+        a, b, total = "".join(a.split()), "".join(b.split()), 0.0
+        for n in range(2, 7):
+            x, y = (Counter(t[i: i + n] for i in range(len(t) - n + 1)) for t in (a, b))
+            same = sum((x & y).values())
+            if same:
+                p, r = same / sum(y.values()), same / sum(x.values())
+                total += 5 * p * r / (4 * p + r)
+        return total / 5
+
+    from millrace.operators.metrics import chrf_of
+
+    for a, b in [("", ""), ("ab", ""), ("a b a b a b", "babab"), ("ñandú 𝒳𝒴 été", "été ñandú 𝒳𝒴"), ("x" * 500, "x" * 90), ("one two three", "two one three four")]:
+        assert abs(chrf_of(a, b) - plain(a, b)) < 1e-12
+    assert chrf_of(None, "abc") == 0.0
+
+
+def test_vector_sum_of_odd_vectors(spark):
+    from millrace.operators.vector import vector_sum
+
+    rows = [("a", [1.0, 2.0]), ("a", [3.0]), ("a", None), ("a", []), (None, [5.0, None]), ("b", None)]
+    df = spark.createDataFrame(rows, "label string, v array<double>").repartition(3)
+    assert {r["label"]: (r["n"], r["total"]) for r in vector_sum(df, "v", "label").collect()} == {"a": (2, [4.0, 2.0]), None: (1, [5.0, 0.0])}
+    assert [(r["n"], r["total"]) for r in vector_sum(df, "v").collect()] == [(3, [9.0, 2.0])]
+    assert vector_sum(df.limit(0), "v", "label").count() == 0
+
+
+def test_score_densities_sum_to_one(spark):
+    from millrace.operators.vector import score_densities
+
+    a = spark.createDataFrame([(i, [1.0, i / 10]) for i in range(20)], "id int, v array<double>")
+    b = spark.createDataFrame([(i, [i / 10, 1.0]) for i in range(20)], "id int, v array<double>")
+    sums = score_densities(a, b, "v", 10).groupBy("side").sum("density").collect()
+    assert {r[0]: round(r[1], 6) for r in sums} == {"train": 1.0, "other": 1.0}
