@@ -73,8 +73,13 @@ class Balancer:
         return v
 
 
+#: Records that are balanced among themselves: blocks of ids, so that the result does not depend on partitions.
+BALANCED_ROWS = 4096
+
+
 def generate(spark, n: int, values: dict[str, list[str]], edges: list[tuple[str, str, str, str]], templates: list[str], seed: int = 42) -> DataFrame:
-    """n coherent records (run_accession, fields, phrase): each field in turn takes the least-used value that its edges allow.
+    """n coherent records (run_accession, fields, phrase): each field in turn takes the value that its edges allow and its block of
+    BALANCED_ROWS records has used least.
 
     A template's {field} marks take surfaces of the values; a field without a mark is appended, so the phrase covers all.
     """
@@ -83,22 +88,24 @@ def generate(spark, n: int, values: dict[str, list[str]], edges: list[tuple[str,
         by_pair.setdefault((a, b), {}).setdefault(x, set()).add(y)
     fields = list(values)
 
+    def record(i: int, bal: Balancer) -> dict:
+        rng, rec = random.Random(f"{seed}:{i}"), {}
+        for f in fields:
+            ok = [v for v in values[f] if all(v in by_pair[a, f].get(rec[a], ()) for a in rec if (a, f) in by_pair)]
+            rec[f] = bal.pick(f, ok) if ok else "unknown"
+        text = templates[rng.randrange(len(templates))]
+        for f in fields:
+            shown = rng.choice([rec[f], rec[f].lower(), rec[f].upper()])
+            text = text.replace("{" + f + "}", shown) if "{" + f + "}" in text else f"{text} {f}: {shown}."
+        return {"run_accession": f"SYN{i:09d}", **rec, "phrase": text}
+
     def run(batches):
-        bal = Balancer()
         for pdf in batches:
-            rows = []
-            for i in pdf["id"]:
-                rng, rec = random.Random(f"{seed}:{i}"), {}
-                for f in fields:
-                    ok = [v for v in values[f] if all(v in by_pair[a, f].get(rec[a], ()) for a in rec if (a, f) in by_pair)]
-                    rec[f] = bal.pick(f, ok) if ok else "unknown"
-                text = templates[rng.randrange(len(templates))]
-                for f in fields:
-                    shown = rng.choice([rec[f], rec[f].lower(), rec[f].upper()])
-                    text = text.replace("{" + f + "}", shown) if "{" + f + "}" in text else f"{text} {f}: {shown}."
-                rows.append({"run_accession": f"SYN{i:09d}", **rec, "phrase": text})
-            yield pd.DataFrame(rows, columns=["run_accession", *fields, "phrase"])
-    return spark.range(n).mapInPandas(run, "run_accession string, " + ", ".join(f"{f} string" for f in fields) + ", phrase string")
+            for block in pdf["id"].tolist():
+                bal = Balancer()
+                ids = range(block * BALANCED_ROWS, min(n, (block + 1) * BALANCED_ROWS))
+                yield pd.DataFrame([record(i, bal) for i in ids], columns=["run_accession", *fields, "phrase"])
+    return spark.range(-(-n // BALANCED_ROWS)).mapInPandas(run, "run_accession string, " + ", ".join(f"{f} string" for f in fields) + ", phrase string")
 
 
 def styled(text: str, style: int, rng: random.Random) -> str:

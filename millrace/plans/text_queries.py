@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.functions.labels import weak_labels
 
 from . import samples as S
 from .registry import query, table
@@ -195,13 +196,41 @@ def str7(spark, sf):
     return _over(S.SOURCES)(spark, sf).select("doc_id", T.first_class(T.spaced(F.col("v")), _BIOPSY).alias("biopsy_type"))
 
 
-_WEAK = {"organ": (("skin", " (skin|dermal|melanoma) "), ("lung", " (lung|pulmonary) "), ("blood", " (blood|plasma) ")), "cancer": (("yes", " (cancer|tumou?r|melanoma|metastatic) "),), "sex": (("female", " (female|woman) "), ("male", " (male|man) "))}
+_TOLD = ["", "Small-RNA of pbmc, untreated", "Truseq stranded mRNA; visium of bone marrow", "10x of Lung carcinoma, treated with x for 3 days", "healthy male donor aged 45 years", "total RNA, partial response", "48 hours treatment, NR", "deplete the ribosomal; F, mets", "colorectal lipoma, progression", "snRNA of DMSO wells, 12 h"]
+_STATED = ["", "Benign tumour", "Melanoma", "asthma", " ", "Non-cancer, once carcinoma", "Glioma"]
+_ORIGIN = ["", "Han Chinese", "Paris", "West African", "handmade"]
 
 
-@query("str8_weak_labels", "SELECT doc_id, " + ", ".join(f"{_classes('g', c)} AS {k}" for k, c in _WEAK.items()) + f" FROM (SELECT doc_id, ' ' || regexp_replace(lower(v), '[^a-z0-9]+', '  ', 'g') || ' ' AS g FROM {_from(S.SOURCES + S.SYNONYMS + S.SEXES)}) u")
+def _say(of: str, *classes: tuple[str, str]) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({of}, '{p}') THEN '{n}'" for n, p in classes) + " END"
+
+
+def _word(*classes: tuple[str, str]) -> str:
+    return _say("g", *((n, f"(^|[^a-z0-9])({p})([^a-z0-9]|$)") for n, p in classes))
+
+
+_ILL = "(carcinoma|cancer|leukemia|lymphoma|myeloma|melanoma|sarcoma|glioblastoma|tumou?r|neoplasm)|oma([^a-z]|$)"
+
+
+@query("str8_weak_labels", f"""SELECT doc_id,
+coalesce({_say("t", ("polyA", r"poly[.\s-]?a|oligo[.\s-]?dt|(truseq|standard|smarter|stranded)[.\s-]?mrna"), ("inverse rRNA", r"ribo[.\s-]?(mi|dep|zero)|riboerase|ribogone|ribocop|deplet.{0,10}ribosom|remove ribosom|(truseq|smarter|stranded)[.\s-]?total|total rna"), ("hybrid selection", r"hybrid[.\s-]?selection|exo(n|me)[.\s-]?capture|rna[.\s-]?exome|geomx|hybrid capture|capture rna|bait"), ("small RNA", r"truseq[.\s-]?small|small[.\s-]?rna|size[.\s-]?fraction|mirna|pi[.\s-]?rna"))}, CASE WHEN doc_id % 3 = 0 THEN 'other' END) AS library_selection,
+coalesce({_say("t", ("single_cell", r"scrna|snrna|(smart|cite|drop)[.\s-]?seq|single[.\s-]?(cell|nucleus)|10x|cell[.\s-]?ranger"), ("spatial", r"spatial|visium|(slide|stereo)[.\s-]?seq|merfish|seqfish|cosmx|xenium|geomx"))}, CASE WHEN doc_id % 3 = 1 THEN 'bulk' END) AS sequencing_source,
+{_word(("metastasis", "metastasis|metastatic|mets?"), ("blood", "pbmc|blood|plasma|serum"), ("primary", "primary"))} AS biopsy_type,
+{_word(("lung", "lung"), ("liver", "liver"), ("breast", "breast"), ("prostate", "prostate"), ("colon", "colon|colorectal"), ("kidney", "kidney|renal"), ("brain", "brain|glioblastoma|cortex|cerebellum"), ("pancreas", "pancreas|pancreatic"), ("ovary", "ovary|ovarian"), ("stomach", "stomach|gastric"), ("skin", "skin|dermal|melanoma"), ("heart", "heart|cardiac"), ("muscle", "muscle|myocard"), ("spleen", "spleen"), ("thyroid", "thyroid"), ("esophagus", "esophag(us|eal)"), ("uterus", "uterus|endometri(um|al)"), ("cervix", "cervix|cervical"), ("bladder", "bladder|urothelial"), ("bone_marrow", "bone marrow"), ("blood", "blood"))} AS organ,
+coalesce(s, {_word(("control", "healthy|normal|control|wild ?type"))}, {_say("t", ("cancer", _ILL))}) AS disease,
+CASE WHEN s IS NOT NULL THEN CASE WHEN regexp_matches(s, '{_ILL}') AND NOT regexp_matches(s, 'benign|non[ -]?cancer') THEN 'true' ELSE 'false' END ELSE coalesce({_say("t", ("true", _ILL))}, {_word(("false", "healthy|normal|control|wild ?type"))}) END AS is_cancer,
+coalesce({_word(("control", "untreated|vehicle|control|dmso"))}, {_say("t", ("treated", f"treated with|treatment with|administered|exposure to|received|[0-9]+ *(day|hour|week|month|mo|d|h|w)s?[^a-z]+treat"))}) AS treatment,
+{_word(("stable_disease", "stable disease|sd"), ("partial_response", "partial response|pr"), ("complete_response", "complete response|cr"), ("progressive_disease", "progression|progressive disease|pd"), ("non_responder", "non ?responder|nr"), ("responder", "responder"))} AS response,
+nullif(regexp_extract(t, '([0-9]+ *(?:day|hour|week|month|mo|d|h|w)s?)(?:[^a-z]|$)', 1), '') AS treatment_time,
+nullif(regexp_extract(t, '((?:age[^0-9]{{0,6}})?[0-9]{{1,2}} *(?:years?|yrs?|yo|y|ans))(?:[^a-z]|$)', 1), '') AS age,
+{_word(("female", "female|f"), ("male", "male|m"))} AS sex,
+CASE WHEN o IN ('han chinese', 'west african') THEN o END AS ethnicity, nullif(o, '') AS localization
+FROM (SELECT doc_id, t, trim(regexp_replace(t, '[^a-z0-9]+', ' ', 'g')) AS g, nullif(trim(lower({S.pick_sql("doc_id", _STATED)})), '') AS s, lower({S.pick_sql("doc_id", _ORIGIN)}) AS o FROM (SELECT doc_id, lower(concat_ws(' | ', text, {S.pick_sql("doc_id", _TOLD)})) AS t FROM documents) a) b""")
 def str8(spark, sf):
-    g = T.spaced(F.col("v"))
-    return _over(S.SOURCES + S.SYNONYMS + S.SEXES)(spark, sf).select("doc_id", *[T.first_class(g, c).alias(k) for k, c in _WEAK.items()])
+    i = F.col("doc_id")
+    given = {"disease": S.pick(i, _STATED), "origin": S.pick(i, _ORIGIN), "library_selection": F.when(i % 3 == 0, "RANDOM"), "library_strategy": F.when(i % 3 == 1, "RNA")}
+    labels = weak_labels(F.concat_ws(" | ", "text", S.pick(i, _TOLD)), given)
+    return _docs(spark, sf).select("doc_id", *[c.alias(n) for n, c in labels.items() if n not in ("biopsy_site", "cell_type")])
 
 
 _LETTERS, _DIGITS = "length(regexp_replace(v, '[^A-Za-z]', '', 'g'))", "length(regexp_replace(v, '[^0-9]', '', 'g'))"

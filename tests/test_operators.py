@@ -303,3 +303,33 @@ def test_score_densities_sum_to_one(spark):
     b = spark.createDataFrame([(i, [i / 10, 1.0]) for i in range(20)], "id int, v array<double>")
     sums = score_densities(a, b, "v", 10).groupBy("side").sum("density").collect()
     assert {r[0]: round(r[1], 6) for r in sums} == {"train": 1.0, "other": 1.0}
+
+
+def test_generated_records_do_not_depend_on_partitions(spark):
+    from collections import Counter
+
+    from millrace.operators.synth import BALANCED_ROWS, generate
+
+    args = ({"organ": ["skin", "lung"], "sex": ["male", "female", "unknown sex"]}, [("organ", "lung", "sex", "male"), ("organ", "skin", "sex", "female"), ("organ", "skin", "sex", "male")], ["{organ} of a {sex}"])
+    n, before = BALANCED_ROWS + 100, spark.conf.get("spark.sql.leafNodeDefaultParallelism", None)
+    rows = []
+    try:
+        for parts in ("1", "5"):
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", parts)
+            rows.append(sorted(map(tuple, generate(spark, n, *args).collect())))
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism") if before is None else spark.conf.set("spark.sql.leafNodeDefaultParallelism", before)
+    assert rows[0] == rows[1] and len(rows[0]) == n
+    assert Counter(r[1] for r in rows[0]) == {"skin": n // 2, "lung": n // 2}
+    assert {(r[1], r[2]) for r in rows[0]} == {("lung", "male"), ("skin", "female"), ("skin", "male")}
+
+
+def test_weak_labels_take_attributes_first(spark):
+    from millrace.functions.labels import weak_labels
+
+    df = spark.createDataFrame([("female lung, 10x", "", None, "kidney"), (None, "M", "1.5", "  "), ("mesh of fems; colonial", None, "2", None)], "t string, sex string, lat string, tissue string")
+    given = {"sex": F.col("sex"), "latitude": F.col("lat"), "longitude": F.col("lat"), "tissue": F.col("tissue")}
+    rows = df.select(*[c.alias(n) for n, c in weak_labels(F.col("t"), given).items()]).collect()
+    assert len(rows[0]) == 15
+    assert [(r["sex"], r["organ"], r["sequencing_source"], r["biopsy_site"], r["localization"]) for r in rows] == [
+        ("female", "lung", "single_cell", "kidney", None), ("m", None, None, None, "1.5,1.5"), (None, None, None, None, "2,2")]
