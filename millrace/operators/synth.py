@@ -108,25 +108,6 @@ def generate(spark, n: int, values: dict[str, list[str]], edges: list[tuple[str,
     return spark.range(-(-n // BALANCED_ROWS)).mapInPandas(run, "run_accession string, " + ", ".join(f"{f} string" for f in fields) + ", phrase string")
 
 
-def styled(text: str, style: int, rng: random.Random) -> str:
-    """One of 21 plain renderings of a sentence, by style number."""
-    words = text.split()
-    case = (str, str.lower, str.upper)[style % 3]
-    joins = (" ", ", ", " | ", "; ", " / ", "\n- ", " - ")[style // 3 % 7]
-    if joins != " " and len(words) > 3:
-        k = rng.randrange(1, len(words))
-        return case(" ".join(words[:k]) + joins + " ".join(words[k:]))
-    return case(" ".join(words))
-
-
-def styles(n: int = 21, seed: int = 42):
-    """Column function (text, key): the text in the style that the key picks."""
-    @F.pandas_udf("string")
-    def run(texts: pd.Series, keys: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else styled(t, int(k) % n, random.Random(f"{seed}:{k}")) for t, k in zip(texts, keys)])
-    return run
-
-
 def _udf(fn):
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:

@@ -9,6 +9,7 @@ from millrace.operators import metrics as M
 from millrace.operators import profile as P
 from millrace.operators import sample as A
 from millrace.operators import spans as N
+from millrace.operators import styles as L
 from millrace.operators import synth as Y
 from millrace.operators import vector as V
 
@@ -513,7 +514,7 @@ def syn4(spark, sf):
 
 @query("syn7_styles")
 def syn7(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", Y.styles()(F.lit("treated with drug for five days"), F.col("doc_id")).alias("text"))
+    return table(spark, sf, "documents").select("doc_id", L.styles(forbidden=("untreated",))(F.concat(F.lit("treated with drug "), F.col("source"), F.lit(" for five days")), F.col("doc_id")).alias("text"))
 
 
 @query("syn8_prompt_table", "SELECT 'Record: ' || doc_id || chr(10) || 'Summary: ' || source || chr(10) || 'Field: ' || f AS prompt, o AS output FROM (SELECT doc_id, source, 'lang' AS f, lang AS o FROM documents UNION ALL SELECT doc_id, source, 'source', source FROM documents) t")

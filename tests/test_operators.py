@@ -333,3 +333,32 @@ def test_weak_labels_take_attributes_first(spark):
     assert len(rows[0]) == 15
     assert [(r["sex"], r["organ"], r["sequencing_source"], r["biopsy_site"], r["localization"]) for r in rows] == [
         ("female", "lung", "single_cell", "kidney", None), ("m", None, None, None, "1.5,1.5"), (None, None, None, None, "2,2")]
+
+
+def test_every_style_holds_the_statement_and_clean_notes():
+    import csv
+    import json
+    import random
+
+    from millrace.operators.styles import LAYOUTS, notes_for, rendered
+
+    said = 'drug "X", 5 {mg}; it\'s | <daily>'
+    assert len(LAYOUTS) == 21
+    for style, layout in LAYOUTS.items():
+        notes = notes_for(random.Random(1), ("VITAL signs",))
+        assert notes and not any("vital signs" in n for n in notes)
+        text = rendered(said, style, notes, random.Random(7))
+        assert layout.escape(said) in text and text == rendered(said, style, notes, random.Random(7))
+        assert rendered("", style, [], random.Random(7)) is not None
+    record = json.loads(rendered(said, "json", ["a", "b", "c"], random.Random(1)))
+    assert record["action"] == said and set(record) == {"action", "check", "note", "extra"}
+    rows = list(csv.reader(rendered(said, "csv", notes, random.Random(1)).splitlines()))
+    assert rows[:2] == [["field", "value"], ["action", said]] and all(len(r) == 2 for r in rows)
+
+
+def test_styles_of_null_texts_and_keys(spark):
+    from millrace.operators.styles import styles
+
+    df = spark.createDataFrame([("x", 1), (None, 2), ("y", None), ("z", 25)], "t string, k long")
+    out = [r[0] for r in df.coalesce(1).select(styles()(F.col("t"), F.col("k"))).collect()]
+    assert out[1] is None and out[2] is None and out[0].startswith("1) x") and out[3].startswith('action: "z"')
