@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from millrace.llm import bpe, decontam, langid, planes, pq, simhash, slots, suffixdedup, urlfilter, wordcount, wordsplit  # noqa: E402
+from millrace.llm import bpe, common, decontam, langid, planes, pq, simhash, slots, suffixdedup, urlfilter, wordcount, wordsplit  # noqa: E402
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PASSAGE = "the quick brown fox jumps over the lazy dog while nine wizards watch from the hill"
@@ -225,6 +225,26 @@ def test_pigeonhole_loses_no_pair_and_splits_hot_groups(spark):
     assert groups(edges) == groups([(a, b) for a in fps for b in fps if (a ^ b).bit_count() <= 4])
 
 
+@pytest.mark.parametrize("edges", [[], [(3, 3)], [(i, i + 1) for i in range(300)], [(7, i) for i in range(200)] + [(500, 7), (600, 601)],
+                                   [(i * 7919 % 401, i * 104729 % 397 - 50) for i in range(250)]])
+def test_components_are_whole_and_their_plans_stay_small(spark, edges, monkeypatch):
+    leaves = []
+
+    def watched(df, name, write=common.written):
+        leaves.append(df._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+        return write(df, name)
+
+    monkeypatch.setattr(common, "written", watched)
+    got = rows(common.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")))
+    root = {x: x for p in edges if p[0] != p[1] for x in p}
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    assert got == sorted(root.items(), key=repr)
+    assert max(leaves) <= 2
+
+
 def test_plans_add_up():
     both = np.diag(np.full(64, 500.0)) + 250
     for n in (10**3, 10**6, 10**9):
